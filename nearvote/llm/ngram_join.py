@@ -3,13 +3,14 @@ similarity of at least 3/4 is linked, and components are the documents reachable
 
 Steps, each over all documents:
 1. One pass over the texts makes a class (equal shingle sets) of each document and the signatures of the
-   class. Signatures travel packed, one block for each batch and part of the signature space, and at most
-   one entry for each batch and signature, so that no hot signature gathers in a task.
-2. Signatures of at least two classes are live; their members are a table.
-3. Each live signature compares its members to three leaders, chosen by hash: as many pairs as members.
-   Pairs that the sizes or the parity sketches rule out are dropped (exact); the others are verified on the
-   full sets. Components follow by label propagation.
-4. In signatures whose members are still of several components, all pairs of different components are held
+   class. Signatures travel packed, one block for each batch and part of the signature space, with at most
+   HOT entries for each batch and signature; members beyond that go their own way, evenly spread.
+2. Signatures of two classes give a pair; those of more give a group of members, once for all signatures of a
+   part that have the same members.
+3. Each group compares its members to three leaders, chosen by hash: as many pairs as members. Pairs that the
+   sizes or the parity sketches rule out are dropped (exact); the others are verified on the full sets.
+   Components follow by label propagation.
+4. In groups whose members are still of several components, all pairs of different components are held
    against sizes and sketches, in blocks of bounded size, and the survivors are verified.
 
 Null or wordless texts have no shingle, no links and form a component each; null ids get a null component
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from nearvote.llm.common import SAMPLE_ROWS, text_blocks, written
 STOP_SHINGLES = 200_000
 STOP_DF = 3
 LEADERS = 3
+#: From more classes of one batch that share a signature on, they no longer go where other entries of it go.
+HOT = 64
 #: Rows of one block in step 4.
 BLOCK = 1024
 #: Bits of the filter that picks candidate documents in a pass over the texts.
@@ -57,86 +61,137 @@ def _stop_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(rows.column("h").to_numpy(), dtype=np.int64).view(P.U))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, ...: the upper bytes of sorted numbers compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(P.U).ravel()
+
+
+def _docs_row(rows: list[tuple], classes: dict[int, tuple]) -> pa.RecordBatch:
+    """Documents (doc_id, fp, n), and for each class the sketches; packed as an Arrow file for the way."""
+    empty = (np.zeros(8, P.U), None)
+    words = np.concatenate([classes.get(r[1], empty)[0] for r in rows]).view(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 8), pa.array(words))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))] + [lists, pa.array([classes.get(r[1], empty)[1] for r in rows], pa.binary())], ["doc_id", "fp", "n", "sketch", "bits"])
+
+
 def _mapper(stop: np.ndarray, parts: int):
-    """Rows (p, kind, a, b, c): kind 0 one entry for each signature of a batch, 1 entries that are live for
-    sure, 2 documents; a, b, c are packed arrays."""
+    """Rows (p, kind, a, b, c). Kind 0: entries of a part of the signatures: the sorted signatures, the numbers
+    of their classes with two marks, and the classes. Kind 1: members of signatures that many classes of the
+    batch share (HOT); kind 0 has only one of them, with a mark. Kind 2: documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for batch in text_blocks(batches, 16_000_000):
-            ids, classes, rows = batch.column("doc_id").to_pylist(), {}, []
-            keep, size, sk, sigs, flags = [], [], [], [], []
-            for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+            classes, rows, keep, sigs, flags = {}, [], [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = P.shingles(text)
                 fp = P.fingerprint(s) if len(s) else 0
                 rows.append((doc_id, fp, len(s)))
                 if len(s) and doc_id is not None and fp not in classes:
-                    classes[fp] = len(keep)
+                    classes[fp] = P.sketch(s), P.long_sketch(s)
                     keep.append(fp)
-                    size.append(len(s))
-                    sk.append(P.sketch(s))
                     sig, flag = P.signatures(s, stop)
                     sigs.append(sig)
                     flags.append(flag)
             turn += 1
-            out = [(turn % parts, 2, pa.array([r[0] for r in rows], pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), np.array([[r[1], r[2], r[0] is None] for r in rows], np.int64).tobytes(), b"".join(sk[classes[r[1]]].tobytes() if r[1] in classes else bytes(64) for r in rows))]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, (own := _docs_row(rows, classes)).schema) as w:
+                w.write_batch(own)
+            out = [(turn % parts, 2, sink.getvalue().to_pybytes(), b"", b"")]
             if sigs:
                 fps = np.array(keep, np.int64)
                 sig, flag = np.concatenate(sigs), np.concatenate(flags)
                 own = np.repeat(np.arange(len(fps), dtype=np.int64), [len(x) for x in sigs])
-                order = np.lexsort((own, ~flag, sig))
-                sig, flag, own = sig[order], flag[order], own[order]
+                part = ((sig >> P.U(20)) % P.U(parts)).astype(np.int64)
+                order = np.lexsort((~flag, sig, part))
+                sig, flag, own, part = sig[order], flag[order], own[order], part[order]
                 first = np.concatenate(([True], sig[1:] != sig[:-1]))
                 starts = np.flatnonzero(first)
-                several = np.repeat(np.diff(np.concatenate((starts, [len(sig)]))) > 1, np.diff(np.concatenate((starts, [len(sig)]))))
-                if several.any():
-                    out.append((turn % parts, 1, sig[several].tobytes(), fps[own[several]].tobytes(), flag[several].tobytes()))
-                sig, flag, own = sig[first], flag[first], own[first]
-                part = ((sig >> P.U(40)) % P.U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                sig, flag, own, part = sig[order], flag[order], own[order], part[order]
+                count = np.diff(np.concatenate((starts, [len(sig)])))
+                hot = np.repeat(count > HOT, count)
+                if hot.any():
+                    out.append((turn % parts, 1, sig[hot].tobytes(), fps[own[hot]].tobytes(), flag[hot].tobytes()))
+                sent = first | ~hot
+                sig, part, mark = sig[sent], part[sent], (own * 4 + flag * 2 + hot)[sent]
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 for p in range(parts):
                     at = slice(cuts[p], cuts[p + 1])
                     if at.start < at.stop:
-                        out.append((p, 0, sig[at].tobytes(), fps[own[at]].tobytes(), flag[at].tobytes()))
+                        used, number = np.unique(mark[at] >> 2, return_inverse=True)
+                        code = number * 4 + (mark[at] & 3)
+                        out.append((p, 0, _planes(sig[at]), code.astype("<u2" if len(used) < 1 << 14 else "<u4").tobytes(), fps[used].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["p", "kind", "a", "b", "c"])
 
     return run
 
 
+SIGNED = "kind string, sig long, fp long, flag boolean, doc_id long, n int, sketch array<long>, bits binary"
+
+
 def _reducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of live signatures (sig, fp, flag) and documents (doc_id, fp, n, sketch), one row each."""
-    names = ["sig", "fp", "flag", "doc_id", "n", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    """SIGNED. Kind pair: classes sig and fp share a signature that no third class has. Kind member: fp is a
+    member of the group sig, a signature, or all signatures here that have just the same members. Kind
+    document: doc_id, its class and the class's sketches."""
+    names = [x.split()[0] for x in SIGNED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
-    def members(sig, fp, flag):
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(fp), pa.array(flag), *(pa.nulls(len(sig), t) for t in types[3:])], names)
+    def tell(kind: str, sig: np.ndarray, fp: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(sig), 50_000):
+            x, y, z = sig[at : at + 50_000], fp[at : at + 50_000], flag[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x)), pa.array(x.view(np.int64)), pa.array(y), pa.array(z), *(pa.nulls(len(x), t) for t in types[4:])], names)
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         for kind, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
             if kind == 2:
-                more, words = np.frombuffer(b, np.int64).reshape(-1, 3), np.frombuffer(c, np.int64)
-                n = len(more)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 8), pa.array(words))
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, types[0]), pa.array(more[:, 0]), pa.nulls(n, types[2]), pa.array(np.frombuffer(a, np.int64), mask=more[:, 2] > 0), pa.array(more[:, 1].astype(np.int32)), lists], names)
+                for x in pa.ipc.open_stream(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(["document"] * len(x)), pa.nulls(len(x), types[1]), x.column("fp"), pa.nulls(len(x), types[3]), *(x.column(n) for n in names[4:])], names)
+            elif kind == 1:
+                yield from tell("member", np.frombuffer(a, P.U), np.frombuffer(b, np.int64), np.frombuffer(c, bool))
             else:
-                got = (np.frombuffer(a, P.U), np.frombuffer(b, np.int64), np.frombuffer(c, bool))
-                if kind:
-                    yield members(*got)
-                else:
-                    held.append(got)
-    if held:
-        sig, fp, flag = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(sig, kind="stable")
-        sig, fp, flag = sig[order], fp[order], flag[order]
-        new = np.concatenate(([True], sig[1:] != sig[:-1], [True]))
-        live = ~(new[:-1] & new[1:])
-        sig, fp, flag = sig[live], fp[live], flag[live]
-        for at in range(0, len(sig), 100_000):
-            yield members(sig[at : at + 100_000], fp[at : at + 100_000], flag[at : at + 100_000])
+                sig, fps = _from_planes(a), np.frombuffer(c, np.int64)
+                code = np.frombuffer(b, "<u2" if len(fps) < 1 << 14 else "<u4").astype(np.int64)
+                held.append((sig, fps[code >> 2], (code & 3).astype(np.uint8)))
+    if not held:
+        return
+    sig, fp, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.argsort(sig, kind="stable")
+    again = sig[order[1:]] == sig[order[:-1]]
+    live = np.concatenate((again, [False])) | np.concatenate(([False], again))
+    order = order[live]
+    sig, fp, mark = sig[order], fp[order], mark[order]
+    order = np.lexsort((fp, sig))
+    sig, fp, mark = sig[order], fp[order], mark[order]
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))[: len(sig)]
+    # One entry for each signature and class; it is hot if any of them is.
+    at = np.flatnonzero(new)
+    if not len(at):
+        return
+    mark = np.bitwise_or.reduceat(mark, at)
+    sig, fp = sig[at], fp[at]
+    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    marks = np.bitwise_or.reduceat(mark, starts)
+    count = np.diff(np.concatenate((starts, [len(sig)])))
+    flag = (mark & 2) > 0
+    hot = np.repeat((marks & 1) > 0, count)
+    yield from tell("member", sig[hot], fp[hot], flag[hot])
+    useful = ((marks & 1) == 0) & ((marks & 2) > 0)
+    two = starts[useful & (count == 2)]
+    pairs = np.unique(np.stack([fp[two], fp[two + 1]], axis=1), axis=0)
+    yield from tell("pair", pairs[:, 0].view(P.U), pairs[:, 1], np.ones(len(pairs), bool))
+    # Groups with the same members and flags are one.
+    name = P.mix(np.add.reduceat(P.mix(P.mix(fp.view(P.U)) + flag), starts) + count.astype(P.U))
+    _, one = np.unique(name, return_index=True)
+    several = np.zeros(len(starts), bool)
+    several[one] = True
+    several &= useful & (count > 2)
+    chosen = np.repeat(several, count)
+    yield from tell("member", np.repeat(name, count)[chosen], fp[chosen], flag[chosen])
 
 
 SKETCH_APART = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(8))
@@ -148,7 +203,23 @@ def _may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out."""
     for side in "ab":
         pairs = pairs.join(classes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "sketch"))).withColumnRenamed(f"fp_{side}", side), side)
-    return pairs.where(MAY_LINK).select("a", "b")
+    return _long_apart(pairs.where(MAY_LINK).select("a", "b", "n_a", "n_b"), classes).select("a", "b")
+
+
+def _long_apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Without the pairs (a, b, n_a, n_b) of large sets that their long sketches rule out."""
+    pairs, long = written(pairs, "near"), classes.where("bits is not null")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+            yield b.select(["a", "b"]).filter(pa.array([7 * P.apart(x, y) <= n + m for n, m, x, y in zip(*cols, strict=True)], pa.bool_()))
+
+    large = pairs.where("n_a > 512 and n_b > 512")
+    for side in "ab":
+        large = large.join(long.select(F.col("fp").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+    large = large.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
+    return large.union(pairs.where("n_a <= 512 or n_b <= 512").select("a", "b"))
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -178,7 +249,7 @@ def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
     found = picked.select("doc_id", "text", "_h").mapInArrow(sets, "id long, fp long, features binary")
     # A repeated id can have other texts, and rows can repeat: one row of each class.
-    sets_ = written(found.join(wanted, ["id", "fp"]).groupBy("fp").agg(F.first("features").alias("features")), "sets")
+    sets_ = written(found.join(wanted, ["id", "fp"]).groupBy("id", "fp").agg(F.first("features").alias("features")), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,25 +336,23 @@ def _block_pairs(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
 def ngram_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of documents (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(64, 2 * docs.rdd.getNumPartitions())
+    parts = max(32, docs.rdd.getNumPartitions())
     stop = _stop_shingles(docs)
-    packed = docs.mapInArrow(_mapper(stop, parts), "p int, kind int, a binary, b binary, c binary").repartition(parts, "p")
-    first = written(packed.mapInArrow(_reducer, "sig long, fp long, flag boolean, doc_id long, n int, sketch array<long>"), "signed")
-    rows = first.where("sig is null").select("doc_id", "fp", "n", "sketch")
+    packed = docs.mapInArrow(_mapper(stop, parts), "p int, kind int, a binary, b binary, c binary").repartitionById(parts, F.col("p"))
+    first = written(packed.mapInArrow(_reducer, SIGNED), "signed")
+    rows = first.where("kind = 'document'").select("doc_id", "fp", "n", "sketch", "bits")
     real = rows.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = written(classes, "classes")
-    members = written(first.where("sig is not null").groupBy("sig", "fp").agg(F.max("flag").alias("flag")), "members")
+    classes = written(real.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
+    members = written(first.where("kind = 'member'").groupBy("sig", "fp").agg(F.max("flag").alias("flag")), "members")
 
     def leader(i: int):
         x = F.min(F.struct(~F.col("flag"), F.xxhash64("fp", F.lit(i)), "fp"))
         return F.when(~x["col1"], x["fp"]).alias(f"l{i}")
 
     leaders = members.groupBy("sig").agg(*(leader(i) for i in range(LEADERS)))
-    stars = (
-        members.join(leaders, "sig").select("fp", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l"))
-        .where("l <> fp").select(F.least("fp", "l").alias("a"), F.greatest("fp", "l").alias("b")).distinct()
-    )
+    stars = members.join(leaders, "sig").select("fp", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l")).where("l <> fp")
+    twos = first.where("kind = 'pair'").select("fp", F.col("sig").alias("l"))
+    stars = stars.union(twos).select(F.least("fp", "l").alias("a"), F.greatest("fp", "l").alias("b")).distinct()
     reps = classes.select("fp", "rep")
     tried = written(_may_link(stars, classes), "stars")
     links = _linked(docs, reps, tried)
@@ -292,7 +361,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("flag").alias("any")).where("any and lo <> hi").select("sig")
     placed = written(placed.join(mixed, "sig"), "placed")
     cross = _cross_pairs(placed, classes.select("fp", "n", "sketch")).join(tried, ["a", "b"], "left_anti")
-    cross = written(cross, "cross")
+    cross = written(_may_link(written(cross, "cross"), classes), "cross")
     if not cross.isEmpty():
         links = links.union(_linked(docs, reps, cross))
         comps = components(links)

@@ -127,8 +127,21 @@ def signatures(s: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sigs, flags
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of the number of features in each of 512 classes, as 8 words: the bits in which two sketches
+def sketch(s: np.ndarray, bits: int = 512) -> np.ndarray:
+    """The parity of the number of features in each of `bits` classes, as words: the bits in which two sketches
     differ are no more than the features in which the sets differ."""
-    odd = np.bincount((mix(s ^ U(0x5851F42D4C957F2D)) >> U(55)).astype(np.int64), minlength=512) & 1
+    odd = np.bincount((mix(s ^ U(0x5851F42D4C957F2D)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(U)
+
+
+def long_sketch(s: np.ndarray) -> bytes | None:
+    """A sketch with at least as many bits as a set of over 512 features."""
+    return sketch(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 512 else None
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The bits in which two long sketches differ; the classes of the larger one are merged to those of the other."""
+    x, y = sorted((np.frombuffer(a, U), np.frombuffer(b, U)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
