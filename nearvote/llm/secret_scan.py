@@ -98,16 +98,16 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 
 def scan(documents: DataFrame, rules=RULES) -> DataFrame:
     """All columns of documents and `secret_spans`, an array of SPAN sorted by start, then kind."""
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    found = candidates(postings(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), rules), rules)
+    keyed, text = documents.withColumn("_key", F.xxhash64("doc_id", "text")), F.coalesce(F.col("text"), F.lit(""))
+    found = candidates(postings(keyed.select(F.col("_key").alias("key"), text.alias("text")), rules), rules)
     found = found.groupBy(F.col("key").alias("_found")).agg(F.first("rules").alias("_rules"))
     joined = keyed.join(found, F.col("_key") == F.col("_found"), "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     parts = []
     for i, rule in enumerate(rules):
-        spans = spans_of(rule, i, F.col("_text"))
+        spans = spans_of(rule, i, text)
         parts.append(F.when(F.array_contains("_rules", i), spans).otherwise(none) if rule.query() else spans)
-    return joined.withColumn("secret_spans", F.array_sort(F.flatten(F.array(*parts)))).drop("_key", "_text", "_found", "_rules")
+    return joined.withColumn("secret_spans", F.array_sort(F.flatten(F.array(*parts)))).drop("_key", "_found", "_rules")
 
 
 def as_text(spans: Column) -> Column:
