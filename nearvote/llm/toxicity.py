@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import held_out, labelled_sample, text_blocks
+from nearvote.llm.common import held_out, labelled_sample, text_blocks, written
 
 THRESHOLD = 0.3
 #: Words that the classifier knows at most, beside the identity terms, and the evidence that one needs.
@@ -79,22 +79,12 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(rows: list[set[str]], y: np.ndarray, swapped: Counter, rounds: int = 400, rate: float = 0.1) -> ToxicityModel:
-    """rows: the features of each document. swapped: how many labelled sentences have each swap."""
+def train(rows: list[set[str]], y: np.ndarray, swapped: Counter, rounds: int = 400, rate: float = 0.1, known: int | None = None) -> ToxicityModel:
+    """rows: the known features of each document. known, without rows: how many are toxic. swapped: how many labelled sentences have each swap."""
     y, n = np.asarray(y, float), len(rows)
     if not n or y.all() or not y.any():
-        return ToxicityModel({}, -60.0 if not y.any() else 4.0)
-    df, toxic = Counter(), Counter()
-    for own, label in zip(rows, y, strict=True):
-        df.update(own)
-        if label:
-            toxic.update(own)
-    share, picked = y.mean(), []
-    for w, c in df.items():
-        z = (toxic[w] - c * share) / np.sqrt(c * share * (1 - share))
-        if c >= MIN_DF and abs(z) >= MIN_Z:
-            picked.append((-abs(z), w))
-    vocabulary = sorted({w for _, w in sorted(picked)[:VOCABULARY]} | set(_GROUP))
+        return ToxicityModel({}, 4.0 if n and y.all() or known else -60.0)
+    share, vocabulary = y.mean(), sorted(set().union(*rows) | set(_GROUP))
     at = {w: i for i, w in enumerate(vocabulary)}
     pairs = [(i, at[w]) for i, own in enumerate(rows) for w in own & at.keys()]
     r, c = (np.array(v, dtype=np.int64) for v in (zip(*pairs, strict=True) if pairs else ((), ())))
@@ -123,17 +113,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             cols = (b.column(c).to_pylist() for c in ("doc_id", "text", "y"))
             yield pa.RecordBatch.from_pylist([{"doc_id": d, "y": y, "words": sorted(features_of(t)), "swaps": ["\t".join(s) for s in swaps(t)][:SENTENCES]} for d, t, y in zip(*cols, strict=True)], schema)
 
-    sample = labelled_sample(docs, labels, "toxic").mapInArrow(features, "doc_id long, y int, words array<string>, swaps array<string>").cache()
-    # Words of fewer than MIN_DF documents can't count; they stay on the executors.
-    often = sample.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DF).orderBy(F.desc("count"), "w").limit(25 * VOCABULARY)
-    often = set(often.select("w").toArrow().column("w").to_pylist()) | set(_GROUP)
-    rows, y, swapped = [], [], Counter()
-    for row in sample.orderBy("doc_id").toLocalIterator():
-        rows.append(often.intersection(row["words"]))
-        y.append(row["y"] == 1)
-        swapped.update(tuple(s.split("\t")) for s in row["swaps"])
-    sample.unpersist()
-    return train(rows, np.array(y), swapped)
+    sample = written(labelled_sample(docs, labels, "toxic").mapInArrow(features, "doc_id long, y int, words array<string>, swaps array<string>"), "toxic-sample")
+    n, toxic = sample.agg(F.count("*"), F.sum((F.col("y") == 1).cast("long"))).first()
+    share = (toxic or 0) / max(1, n)
+    if not 0 < share < 1:
+        return train([], np.array([]), Counter(), known=toxic)
+    # The vocabulary is chosen on the executors, and rows come reduced to it.
+    z = F.abs(F.col("k") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
+    often = sample.select(F.explode("words").alias("w"), (F.col("y") == 1).cast("int").alias("k")).groupBy("w").agg(F.count("*").alias("c"), F.sum("k").alias("k"))
+    often = often.where((F.col("c") >= MIN_DF) & (z >= MIN_Z)).orderBy(z.desc(), "w").limit(VOCABULARY).select("w").toArrow().column("w").to_pylist()
+    known = set(often) | set(_GROUP)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [sorted(known.intersection(w)) for w in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(words, pa.list_(pa.string())), b.column("swaps")], schema=schema)
+
+    rows = sample.mapInArrow(reduced, "doc_id long, y int, words array<string>, swaps array<string>").toArrow().sort_by("doc_id").to_pylist()
+    swapped = Counter(tuple(s.split("\t")) for r in rows for s in r["swaps"])
+    return train([set(r["words"]) for r in rows], np.array([r["y"] == 1 for r in rows]), swapped)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
