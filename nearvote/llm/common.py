@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the largest bounded sample that any classifier here is fitted on.
 SAMPLE_ROWS = 6000
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver did, whatever folder they start in."""
+    """Python workers find this package where the driver did, whatever folder they start in; and unless the
+    cluster says otherwise, they get Arrow batches of bounded bytes, as rows can be long."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(limit):
+        spark.conf.set(limit, BATCH_BYTES)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -85,7 +85,7 @@ def _mapper(stop: np.ndarray, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
-        for batch in text_blocks(batches, 16_000_000):
+        for batch in text_blocks(batches):
             classes, rows, keep, sigs, flags = {}, [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = P.shingles(text)
@@ -212,14 +212,15 @@ def _long_apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = (b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
-            yield b.select(["a", "b"]).filter(pa.array([7 * P.apart(x, y) <= n + m for n, m, x, y in zip(*cols, strict=True)], pa.bool_()))
+            sizes = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            ok = 7 * P.apart(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()) <= sizes
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    large = pairs.where("n_a > 512 and n_b > 512")
+    large = pairs.where(f"n_a > {P.LONG} and n_b > {P.LONG}")
     for side in "ab":
         large = large.join(long.select(F.col("fp").alias(side), F.col("bits").alias(f"bits_{side}")), side)
     large = large.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
-    return large.union(pairs.where("n_a <= 512 or n_b <= 512").select("a", "b"))
+    return large.union(pairs.where(f"n_a <= {P.LONG} or n_b <= {P.LONG}").select("a", "b"))
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -288,7 +289,7 @@ def _cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         members.join(sizes, "sig").join(classes, "fp")
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "flag", "comp", "n", "sketch")
+        .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "flag", "comp", "n", "sketch", "bits")
     )
 
     key = ["sig", "i", "j"]
@@ -330,7 +331,14 @@ def _block_pairs(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         d += 1
     pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    row = {f: r for r, f in enumerate(fp.tolist())}
+    a, b = (np.array([row[f] for f in side], dtype=np.int64) for side in pairs.T.tolist())
+    ok = np.ones(len(pairs), bool)
+    if len(long := np.flatnonzero((n[a] > P.LONG) & (n[b] > P.LONG))):
+        bits = t.column("bits").to_pylist()
+        a, b = a[long], b[long]
+        ok[long] = 7 * P.apart([bits[r] for r in a], [bits[r] for r in b]) <= n[a].astype(np.int64) + n[b]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[ok, 0]), pa.array(pairs[ok, 1])], ["a", "b"])
 
 
 def ngram_components(documents: DataFrame) -> DataFrame:
@@ -360,8 +368,8 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     placed = members.join(comps, members.fp == comps.id, "left").select("sig", "fp", "flag", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("flag").alias("any")).where("any and lo <> hi").select("sig")
     placed = written(placed.join(mixed, "sig"), "placed")
-    cross = _cross_pairs(placed, classes.select("fp", "n", "sketch")).join(tried, ["a", "b"], "left_anti")
-    cross = written(_may_link(written(cross, "cross"), classes), "cross")
+    cross = _cross_pairs(placed, classes.select("fp", "n", "sketch", "bits")).join(tried, ["a", "b"], "left_anti")
+    cross = written(cross, "cross")
     if not cross.isEmpty():
         links = links.union(_linked(docs, reps, cross))
         comps = components(links)

@@ -24,6 +24,8 @@ import xxhash
 U = np.uint64
 WORDS = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
+#: Sets of more features have a long sketch.
+LONG = 64
 #: Parts for each feature of the band's largest set, in the whole domain and in that without stop shingles.
 PARTS_WHOLE, PARTS_RARE = 0.36, 0.8
 #: Sets that keep a smaller share of their features without the stop shingles sign in the whole domain alone.
@@ -135,13 +137,24 @@ def sketch(s: np.ndarray, bits: int = 512) -> np.ndarray:
 
 
 def long_sketch(s: np.ndarray) -> bytes | None:
-    """A sketch with at least as many bits as a set of over 512 features."""
-    return sketch(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 512 else None
-
-
-def apart(a: bytes, b: bytes) -> int:
-    """The bits in which two long sketches differ; the classes of the larger one are merged to those of the other."""
-    x, y = sorted((np.frombuffer(a, U), np.frombuffer(b, U)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    """A sketch with four to eight bits for each feature of a set of over LONG features: few features share one."""
+    return sketch(s, 1 << (4 * len(s) - 1).bit_length()).tobytes() if len(s) > LONG else None
+
+
+def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """For each pair, the bits in which two long sketches differ; the classes of the larger one are merged to
+    those of the other. Pairs of the same two lengths are compared at once."""
+    out, groups = np.zeros(len(a), np.int64), {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        groups.setdefault((len(x), len(y)), []).append(i)
+    for _, own in groups.items():
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            x, y = (np.frombuffer(b"".join(z[i] for i in part), U).reshape(len(part), -1) for z in (a, b))
+            while x.shape[1] != y.shape[1]:
+                if x.shape[1] < y.shape[1]:
+                    x, y = y, x
+                half = x.shape[1] // 2
+                x = x[:, :half] ^ x[:, half:]
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
