@@ -101,7 +101,7 @@ def oracle_sql() -> dict[str, str]:
            sum(length(learnt))::BIGINT AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn, role, text)) AS loss_sha256, sum(size)::BIGINT AS formatted_chars,
            any_value(regexp_full_match(array_to_string(o.roles, ' '), '(system )*user assistant( user assistant)*')) AS valid
     FROM loss l JOIN orders o ON l.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY l.conv_id"""
-    letters = " || ".join(f"substr('{warc.BASE32}', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
     op7 = f"""
     WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
     digests AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h FROM bodies),

@@ -36,28 +36,42 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 4
 MANIFEST = "shard int, file string, temporary string, records long, bytes long, sha256 string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: four letters for each five hexadecimal digits."""
-    digits = F.sha1(payload)
-    chunks = [F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
-    return F.concat(*(F.substring(F.lit(BASE32), (F.shiftright(c, s).bitwiseAND(31) + 1), F.lit(1)) for c in chunks for s in (15, 10, 5, 0)))
+PACKED = "page_id long, url string, payload_bytes long, payload_digest string, member binary"
 
 
-def typed(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to); html is null in revisits."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
+def _digest(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """PACKED: each page with its digest and its compressed response record, so that html is shuffled small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(at, 512) for at in range(0, b.num_rows, 512)):
+                out = []
+                for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    payload = (html or "").encode("utf-8")
+                    digest = _digest(payload)
+                    out.append((page_id, url, len(payload), digest, _member(record(page_id, url, payload, len(payload), digest, "response", None))))
+                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, PACKED)
+
+
+def typed(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """PACKED rows with record_type and refers_to; member is null in revisits."""
     big = rows.where(F.col("payload_bytes") >= min_bytes)
     # Only payloads that several rows have take part in the join.
     groups = big.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1").select("payload_digest", "keeper")
     joined = rows.join(groups, "payload_digest", "left")
     revisit = F.coalesce((F.col("payload_bytes") >= min_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
     return joined.select(
-        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
+        "page_id", "url", F.when(~revisit, F.col("member")).alias("member"), "payload_bytes", "payload_digest",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"),
     )
 
@@ -82,12 +96,11 @@ def _header(kind: str, record_id: str, length: int, more: list[tuple[str, str]])
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, html: str | None, payload_bytes: int, digest: str, kind: str, refers_to: int | None) -> bytes:
-    payload = (html or "").encode("utf-8")
+def record(page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, kind: str, refers_to: int | None) -> bytes:
+    """A record's bytes; a revisit has the HTTP head alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % payload_bytes
     block = http + payload if kind == "response" else http
-    block_digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
-    more = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{block_digest}")]
+    more = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{_digest(block)}")]
     if url:
         more.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     if kind == "revisit":
@@ -104,9 +117,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes:
     """Writes pages (page_id, url, html) under `path`, and returns the manifest."""
     spark = pages.sparkSession
     table, cell, shards = _shard_of(pages, shard_bytes)
-    rows = typed(pages, min_bytes).withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell")
+    rows = typed(packed(pages), min_bytes).withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell")
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "payload_digest")
-    names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    names = ["page_id", "url", "member", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(path)
@@ -137,7 +150,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes:
                     out = store.open_output_stream(f"{root}/{file['temporary']}", compression=None)
                     info = b"format: WARC File Format 1.1\r\n"
                     put(_member(_header("warcinfo", f"urn:file:{name}", len(info), [("Content-Type", "application/warc-fields"), ("WARC-Filename", name)]) + info + b"\r\n\r\n"))
-                put(_member(record(*values)))
+                page_id, url, member, payload_bytes, digest, kind, refers_to = values
+                put(_member(record(page_id, url, b"", payload_bytes, digest, kind, refers_to)) if member is None else member)
                 file["records"] += 1
         close()
         if done:
@@ -187,7 +201,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(path)
-        digest = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+        digest = lambda x: "sha1:" + _digest(x)
         number = lambda urn: int(urn[10:-1]) if urn and urn != "<urn:page:>" else None
         for b in batches:
             for name, count in zip(b.column("file").to_pylist(), b.column("records").to_pylist(), strict=True):
