@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer and reader.
 
-Records sort by page id. Shards are ranges of ids with about SHARD_BYTES of payload; their bounds follow from
+Records sort by page id and digest. Shards are ranges of ids with about SHARD_BYTES of payload; their bounds follow from
 a histogram of ids, so they are the same at each run. Within a shard, files roll at ROLL_BYTES of compressed
 size. Headers and digests are made anew. A task writes under temporary names; the rows that it returns, as
 a written table, name the files of the attempts that count. A second job renames them, and the manifest,
@@ -38,15 +38,16 @@ MANIFEST = "shard int, file string, temporary string, records long, bytes long,
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-PACKED = "page_id long, url string, payload_bytes long, payload_digest string, member binary"
+PACKED = "page_id long, url string, payload_bytes long, sha1 string, member binary"
 
 
 def _digest(data: bytes) -> str:
+    """Upper-case base32 of the SHA-1."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
 def packed(pages: DataFrame) -> DataFrame:
-    """PACKED: each page with its digest and its compressed response record, so that html is shuffled small."""
+    """PACKED: each page with its compressed response record, so that html is shuffled small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,8 +55,7 @@ def packed(pages: DataFrame) -> DataFrame:
                 out = []
                 for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                     payload = (html or "").encode("utf-8")
-                    digest = _digest(payload)
-                    out.append((page_id, url, len(payload), digest, _member(record(page_id, url, payload, len(payload), digest, "response", None))))
+                    out.append((page_id, url, len(payload), hashlib.sha1(payload).hexdigest(), _member(record(page_id, url, payload, len(payload), _digest(payload), "response", None))))
                 types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
@@ -63,17 +63,13 @@ def packed(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def typed(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """PACKED rows with record_type and refers_to; member is null in revisits."""
-    big = rows.where(F.col("payload_bytes") >= min_bytes)
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, keeper): the pages that revisit the page `keeper`. Without html in any shuffle."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size")).where(F.col("size") >= min_bytes)
     # Only payloads that several rows have take part in the join.
-    groups = big.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1").select("payload_digest", "keeper")
-    joined = rows.join(groups, "payload_digest", "left")
-    revisit = F.coalesce((F.col("payload_bytes") >= min_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
-    return joined.select(
-        "page_id", "url", F.when(~revisit, F.col("member")).alias("member"), "payload_bytes", "payload_digest",
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"),
-    )
+    groups = keys.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1 and keeper is not null").select("sha1", "keeper")
+    return keys.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "sha1", "keeper").distinct()
 
 
 def _shard_of(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column, int]:
@@ -117,9 +113,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes:
     """Writes pages (page_id, url, html) under `path`, and returns the manifest."""
     spark = pages.sparkSession
     table, cell, shards = _shard_of(pages, shard_bytes)
-    rows = typed(packed(pages), min_bytes).withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell")
-    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "payload_digest")
-    names = ["page_id", "url", "member", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # A mark (no member) comes before the records that it makes revisits; so members are shuffled once.
+    marks = revisits(pages, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("payload_bytes"), "sha1", F.lit(None).cast("binary").alias("member"), "keeper")
+    rows = packed(pages).withColumn("keeper", F.lit(None).cast("long")).unionByName(marks).withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", F.col("member").isNotNull(), "url")
+    names = ["page_id", "url", "payload_bytes", "sha1", "member", "keeper"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(path)
@@ -127,6 +125,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes:
         store.create_dir(f"{root}/temporary", recursive=True)
         out = file = None
         done: list[dict] = []
+        mark = (None, None, None)
 
         def close() -> None:
             nonlocal out, file
@@ -141,7 +140,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes:
             file["sum"].update(data)
 
         for batch in batches:
-            for shard, *values in zip(*(batch.column(c).to_pylist() for c in ("shard", *names)), strict=True):
+            for shard, page_id, url, payload_bytes, sha1, member, keeper in zip(*(batch.column(c).to_pylist() for c in ("shard", *names)), strict=True):
+                if member is None:
+                    mark = (page_id, sha1, keeper)
+                    continue
                 if out is None or file["shard"] != shard or file["bytes"] >= roll_bytes:
                     roll = file["roll"] + 1 if file and file["shard"] == shard else 0
                     close()
@@ -150,8 +152,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes:
                     out = store.open_output_stream(f"{root}/{file['temporary']}", compression=None)
                     info = b"format: WARC File Format 1.1\r\n"
                     put(_member(_header("warcinfo", f"urn:file:{name}", len(info), [("Content-Type", "application/warc-fields"), ("WARC-Filename", name)]) + info + b"\r\n\r\n"))
-                page_id, url, member, payload_bytes, digest, kind, refers_to = values
-                put(_member(record(page_id, url, b"", payload_bytes, digest, kind, refers_to)) if member is None else member)
+                if mark[:2] == (page_id, sha1):
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    member = _member(record(page_id, url, b"", payload_bytes, digest, "revisit", mark[2]))
+                put(member)
                 file["records"] += 1
         close()
         if done:
