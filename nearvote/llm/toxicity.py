@@ -4,8 +4,8 @@ group does not raise it.
 
 The words and word beginnings it knows are those that a bounded sample of labelled documents
 (common.SAMPLE_ROWS, not held out) ties to a label; beginnings ("achli-") cover inflected forms. Each
-document counts by its distinct features, over the whole text. Identity terms always take part, so that the
-penalty can hold them.
+document counts by its distinct features, over the whole text. Identity terms always take part, with their
+beginnings, so that the penalty can hold them.
 
 Null and empty texts score as a text without known words. Without labels of both kinds, every score is the
 share of toxic labels (0 without any). A row for each input row, of doc_id and the results alone.
@@ -59,6 +59,10 @@ def features_of(text: str | None) -> set[str]:
     return own.union(*({w[:k] + "-" for w in own if len(w) >= k} for k in STEMS))
 
 
+#: The features of identity terms always take part.
+_IDENTITY = set().union(*map(features_of, _GROUP))
+
+
 def swaps(text: str) -> Iterator[tuple[str, str]]:
     """(term, its replacement) for each identity term of each sentence and each other term of its group."""
     for sentence in _SENTENCE.split(text.lower()):
@@ -84,19 +88,21 @@ def train(rows: list[set[str]], y: np.ndarray, swapped: Counter, rounds: int = 4
     y, n = np.asarray(y, float), len(rows)
     if not n or y.all() or not y.any():
         return ToxicityModel({}, 4.0 if n and y.all() or known else -60.0)
-    share, vocabulary = y.mean(), sorted(set().union(*rows) | set(_GROUP))
+    share, vocabulary = y.mean(), sorted(set().union(*rows) | _IDENTITY)
     at = {w: i for i, w in enumerate(vocabulary)}
     pairs = [(i, at[w]) for i, own in enumerate(rows) for w in own & at.keys()]
     r, c = (np.array(v, dtype=np.int64) for v in (zip(*pairs, strict=True) if pairs else ((), ())))
-    a, b, m = (np.array(v, dtype=float) for v in (zip(*((at[x], at[z], k) for (x, z), k in swapped.items()), strict=True) if swapped else ((), (), ())))
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    # A swap changes the term's word and its beginnings: rows (pair, feature, +1 or -1).
+    change = [(i, at[f], sign) for i, terms in enumerate(swapped) for term, sign in zip(terms, (1.0, -1.0), strict=True) for f in features_of(term) if f in at]
+    pair, feature, sign = (np.array(v) for v in (zip(*change, strict=True) if change else ((), (), ())))
+    m = np.array(list(swapped.values()), dtype=float)
     w, offset, first, second = np.zeros(len(vocabulary)), float(np.log(share / (1 - share))), 0.0, 0.0
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(offset + np.bincount(r, w[c], n), -60, 60)))
         g = np.bincount(c, (p - y)[r], len(w)) / n + DECAY * w
         if len(m):
-            gap = SWAP_WEIGHT * (w[a] - w[b]) * m / m.sum()
-            g += np.bincount(a, gap, len(w)) - np.bincount(b, gap, len(w))
+            gap = SWAP_WEIGHT * np.bincount(pair, w[feature] * sign, len(m)) * m / m.sum()
+            g += np.bincount(feature, gap[pair] * sign, len(w))
         grad = np.concatenate([g, [(p - y).mean()]])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
@@ -122,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     z = F.abs(F.col("k") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
     often = sample.select(F.explode("words").alias("w"), (F.col("y") == 1).cast("int").alias("k")).groupBy("w").agg(F.count("*").alias("c"), F.sum("k").alias("k"))
     often = often.where((F.col("c") >= MIN_DF) & (z >= MIN_Z)).orderBy(z.desc(), "w").limit(VOCABULARY).select("w").toArrow().column("w").to_pylist()
-    known = set(often) | set(_GROUP)
+    known = set(often) | _IDENTITY
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
