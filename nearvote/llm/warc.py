@@ -32,6 +32,8 @@ SHARD_BYTES = 32_000_000
 ROLL_BYTES = 8_000_000
 #: Cells of the histogram of ids: a bound on what the driver holds.
 MOST_CELLS = 1 << 20
+#: Tasks that read an archive at most.
+MOST_READERS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 4
 MANIFEST = "shard int, file string, temporary string, records long, bytes long, sha256 string"
@@ -224,7 +226,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in RECORD.split(", ")])
 
-    return files.repartition(F.col("file")).mapInArrow(read, RECORD)
+    # A task for each few files: their rows are tiny, so a plan by size would read them all in one task.
+    return files.repartition(max(1, min(files.count(), MOST_READERS)), "file").mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
