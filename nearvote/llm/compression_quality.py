@@ -1,11 +1,12 @@
 """Quality classifier by compression: zstandard dictionaries built from good and from bad labelled text; the
-normalised difference of compressed sizes, calibrated by a logistic curve, is the score.
+normalised difference of compressed sizes, calibrated by a logistic curve, is the score. The calibration knows
+the text's size, as short texts give little evidence, and how far it compresses at all.
 
 A text is compressed in blocks of BLOCK bytes, all of them, with either dictionary, so that the dictionaries
 matter to the end of a long text. Blocks of labelled documents that are not held out, of a bounded sample
 (common.SAMPLE_ROWS documents), build the dictionaries; other documents of the sample calibrate.
 
-Null and empty texts have a difference of 0 and get the curve's value there. Without labels of both kinds the
+Null and empty texts have a difference of 0 and get the curve's value for a text of no bytes. Without labels of both kinds the
 score is the share of good labels (0.5 without any). Rows, ids and other columns: a row for each input row,
 of doc_id and the results alone.
 """
@@ -36,16 +37,17 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, difference
 class CompressionModel:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    weights: tuple[float, ...]
 
     def scorer(self):
         """A function from text to (score, difference)."""
         sizes = _sizes(self.good), _sizes(self.bad)
 
         def run(text: str | None) -> tuple[float, float]:
-            d = difference(text or "", *sizes)
-            return float(1 / (1 + np.exp(-np.clip(self.slope * d + self.offset, -60, 60)))), d
+            blocks = _blocks(text or "")
+            g, b = (sum(map(f, blocks)) for f in sizes)
+            x = evidence(g, b, sum(map(len, blocks)), sum(map(len, blocks)))
+            return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -60, 60)))), float(x[0])
 
         return run
 
@@ -64,13 +66,12 @@ def _sizes(dictionary: bytes):
     return lambda block: len(pack(block))
 
 
-def difference(text: str, good, bad) -> float:
-    """(size with the bad dictionary - size with the good one) / their sum: above 0, the text is more like good text."""
-    g = b = 0
-    for x in _blocks(text):
-        g += good(x)
-        b += bad(x)
-    return (b - g) / (b + g) if g + b else 0.0
+def evidence(good: int, bad: int, size: int, whole: int) -> np.ndarray:
+    """What the curve takes: the normalised difference (above 0, the text is more like good text), the same for
+    short texts alone, how far it compresses, shortness, 1. size: bytes that were compressed, of `whole`."""
+    d = (bad - good) / (bad + good) if good + bad else 0.0
+    short = 1 / (1 + whole / 200)
+    return np.array([d, d * short, min(1.0, (good + bad) / (2 * size)) if size else 0.5, short, 1.0])
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -90,35 +91,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
             for doc_id, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True):
                 own = _blocks(text)
                 pick = range(len(own)) if len(own) <= DOC_BLOCKS else sorted({round(i * (len(own) - 1) / (DOC_BLOCKS - 1)) for i in range(DOC_BLOCKS)})
-                rows.append({"doc_id": doc_id, "y": y, "blocks": [own[i] for i in pick]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("blocks", pa.list_(pa.binary()))]))
+                rows.append({"doc_id": doc_id, "y": y, "size": sum(map(len, own)), "blocks": [own[i] for i in pick]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("size", pa.int64()), ("blocks", pa.list_(pa.binary()))]))
 
-    sample = labelled_sample(docs, labels, "quality").mapInArrow(blocks, "doc_id long, y int, blocks array<binary>")
+    sample = labelled_sample(docs, labels, "quality").mapInArrow(blocks, "doc_id long, y int, size long, blocks array<binary>")
     rows = sorted(sample.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     kinds = {1 if r["y"] == 1 else 0 for r in rows}
     if len(kinds) < 2:
-        return CompressionModel(b"", b"", 0.0, {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(kinds)])
+        return CompressionModel(b"", b"", (0.0, 0.0, 0.0, 0.0, {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(kinds)]))
     build, check = [r for i, r in enumerate(rows) if i % 2], [r for i, r in enumerate(rows) if not i % 2]
     # A document in both halves, as a copy, would flatter the curve: copies of built blocks do not calibrate.
     used = {x for r in build for x in r["blocks"]}
     check = [r for r in check if not used.issuperset(r["blocks"])] or rows
     good, bad = (_dictionary([x for r in build if (r["y"] == 1) == is_good for x in r["blocks"]]) for is_good in (True, False))
     sizes = _sizes(good), _sizes(bad)
-    d = np.array([(b - g) / max(1, b + g) for g, b in ([sum(map(f, r["blocks"])) for f in sizes] for r in check)])
+    x = np.array([evidence(*(sum(map(f, r["blocks"])) for f in sizes), sum(map(len, r["blocks"])), r["size"]) for r in check])
     y = np.array([float(r["y"] == 1) for r in check])
-    return CompressionModel(good, bad, *_logistic(d, y))
+    return CompressionModel(good, bad, _logistic(x, y))
 
 
-def _logistic(d: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset by Newton steps, with a weak prior on the slope and targets off 0 and 1."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
+    """Weights by Newton steps, with a weak prior but on the last, and targets off 0 and 1 if all are one."""
     y = (y * y.sum() + 1) / (y.sum() + 2) if y.all() or not y.any() else y
-    scale = d.std() or 1.0
-    x, w = np.stack([d / scale, np.ones_like(d)], axis=1), np.zeros(2)
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z, w, prior = x / scale, np.zeros(x.shape[1]), np.array([0.05] * (x.shape[1] - 1) + [1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        return float((np.logaddexp(0, z @ w) - y * (z @ w)).sum() + 0.5 * (prior * w * w).sum())
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-6])
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - np.array([0.05, 1e-6]) * w), -2, 2)
-    return float(w[0] / scale), float(w[1])
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(prior)
+        move, now = np.linalg.solve(h, z.T @ (y - p) - prior * w), loss(w)
+        while loss(w + move) > now and np.abs(move).max() > 1e-9:  # a whole step can lead past the minimum
+            move = move / 2
+        w = w + move
+    return tuple(float(v) for v in w / scale)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
