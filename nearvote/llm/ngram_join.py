@@ -284,7 +284,7 @@ def _cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     The members of a signature are cut into blocks of about BLOCK rows; a task holds two blocks at most.
     """
-    sizes = members.groupBy("sig").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("k"))
+    sizes = written(members.groupBy("sig").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("k")), "sizes")
     dealt = (
         members.join(sizes, "sig").join(classes, "fp")
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
@@ -357,7 +357,9 @@ def ngram_components(documents: DataFrame) -> DataFrame:
         x = F.min(F.struct(~F.col("flag"), F.xxhash64("fp", F.lit(i)), "fp"))
         return F.when(~x["col1"], x["fp"]).alias(f"l{i}")
 
-    leaders = members.groupBy("sig").agg(*(leader(i) for i in range(LEADERS)))
+    # Aggregates are written before they are joined to what they came from: a join that reuses an aggregate's
+    # partitions can't split those of a hot key.
+    leaders = written(members.groupBy("sig").agg(*(leader(i) for i in range(LEADERS))), "leaders")
     stars = members.join(leaders, "sig").select("fp", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l")).where("l <> fp")
     twos = first.where("kind = 'pair'").select("fp", F.col("sig").alias("l"))
     stars = stars.union(twos).select(F.least("fp", "l").alias("a"), F.greatest("fp", "l").alias("b")).distinct()
@@ -367,6 +369,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     comps = components(links)
     placed = members.join(comps, members.fp == comps.id, "left").select("sig", "fp", "flag", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("flag").alias("any")).where("any and lo <> hi").select("sig")
+    mixed = written(mixed, "mixed")
     placed = written(placed.join(mixed, "sig"), "placed")
     cross = _cross_pairs(placed, classes.select("fp", "n", "sketch", "bits")).join(tried, ["a", "b"], "left_anti")
     cross = written(cross, "cross")
@@ -374,7 +377,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
         links = links.union(_linked(docs, reps, cross))
         comps = components(links)
     merged = classes.join(comps, classes.fp == comps.id, "left").select("fp", "rep", F.coalesce("label", "fp").alias("comp"))
-    least = merged.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = written(merged.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
     merged = merged.join(least, "comp").select(F.col("fp").alias("cfp"), "component_id")
     key = F.when(F.col("n") > 0, F.col("fp"))
     return rows.join(merged, key == merged.cfp, "left").select(
