@@ -7,7 +7,8 @@ candidates are verified with the expression itself. Rules without a mandatory tr
 
 Matches are leftmost and not overlapping for each rule; those that fail the rule's least length are dropped.
 Null texts are empty. Positions are code points, end exclusive. Ids may be null, and rows may repeat: postings
-are kept by a hash of id and text, whose collisions only add candidates.
+are kept by a hash of id and text, whose collisions only add candidates. Other columns, whatever their names, stay as
+they are in `redact` and are ignored in `report`.
 """
 
 from __future__ import annotations
@@ -96,18 +97,26 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return sets.select("key", F.array_distinct(F.filter(hits, lambda x: x.isNotNull())).alias("rules")).where("size(rules) > 0")
 
 
-def scan(documents: DataFrame, rules=RULES) -> DataFrame:
-    """All columns of documents and `secret_spans`, an array of SPAN sorted by start, then kind."""
-    keyed, text = documents.withColumn("_key", F.xxhash64("doc_id", "text")), F.coalesce(F.col("text"), F.lit(""))
-    found = candidates(postings(keyed.select(F.col("_key").alias("key"), text.alias("text")), rules), rules)
-    found = found.groupBy(F.col("key").alias("_found")).agg(F.first("rules").alias("_rules"))
-    joined = keyed.join(found, F.col("_key") == F.col("_found"), "left")
+def _fresh(name: str, columns: list[str]) -> str:
+    """`name`, or one like it that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def scan(documents: DataFrame, rules=RULES, into: str = "secret_spans") -> DataFrame:
+    """All columns of documents and `into`, an array of SPAN sorted by start, then kind. `into` is to be a new name."""
+    key, held, which = (_fresh(x, documents.columns) for x in ("_key", "_held", "_rules"))
+    keyed, text = documents.withColumn(key, F.xxhash64("doc_id", "text")), F.coalesce(F.col("text"), F.lit(""))
+    found = candidates(postings(keyed.select(F.col(key).alias("key"), text.alias("text")), rules), rules)
+    found = found.groupBy(F.col("key").alias(held)).agg(F.first("rules").alias(which))
+    joined = keyed.join(found, F.col(key) == F.col(held), "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     parts = []
     for i, rule in enumerate(rules):
         spans = spans_of(rule, i, text)
-        parts.append(F.when(F.array_contains("_rules", i), spans).otherwise(none) if rule.query() else spans)
-    return joined.withColumn("secret_spans", F.array_sort(F.flatten(F.array(*parts)))).drop("_key", "_found", "_rules")
+        parts.append(F.when(F.array_contains(which, i), spans).otherwise(none) if rule.query() else spans)
+    return joined.withColumn(into, F.array_sort(F.flatten(F.array(*parts)))).drop(key, held, which)
 
 
 def as_text(spans: Column) -> Column:
@@ -126,8 +135,9 @@ def report(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of documents with all their columns; spans in `text` are replaced by `mark` (overlapping ones
     by one mark), and n_chars, if there, is that of the new text."""
+    found = _fresh("secret_spans", documents.columns)
     merged = F.aggregate(
-        "secret_spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
+        found, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]),
             F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))),
@@ -136,7 +146,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     piece = lambda acc, s: F.struct(F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     text = F.aggregate(merged, start, piece, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
-    clean = scan(documents).withColumn("text", F.when(F.size("secret_spans") > 0, text).otherwise(F.col("text")))
+    clean = scan(documents, into=found).withColumn("text", F.when(F.size(found) > 0, text).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*documents.columns)

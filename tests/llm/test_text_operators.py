@@ -205,6 +205,10 @@ def test_secret_spans(spark):
         for s, e in merged:
             out, at = out + t[at:s] + "[SECRET]", e
         assert clean[i].text == (out + t[at:] if spans else t)
+    clashing = table.selectExpr("*", "doc_id as _key", "'r' as _rules", "'s' as secret_spans", "doc_id as rules", "'h' as _held", "doc_id as Trigram")
+    other = secret_scan.redact(clashing)
+    assert other.columns == clashing.columns
+    assert {(r.doc_id, r.text, r._key, r._rules, r.secret_spans, r._held, r.Trigram) for r in other.collect()} == {(d, r.text, d, "r", "s", "h", d) for d, r in clean.items()}
     assert secret_scan.report(docs(spark, [])).count() == 0
     assert secret_scan.report(spark.createDataFrame([(None, "token=abcdef"), (None, None)], "doc_id long, text string")).count() == 2
 
