@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records sort by page id and digest. Shards are ranges of ids with about SHARD_BYTES of payload; their bounds follow from
-a histogram of ids, so they are the same at each run. Within a shard, files roll at ROLL_BYTES of compressed
+Records sort by page id and digest. Shards are ranges of both with about SHARD_BYTES of payload; their bounds follow
+from the sizes of all keys (id, head of the digest), or, beyond MOST_KEYS keys, of those chosen by hash; so they are the
+same at each run, whatever the ids' spread, and an id that many pages share is cut by its digests. Within a shard, files roll at ROLL_BYTES of compressed
 size. Headers and digests are made anew. A task writes under temporary names; the rows that it returns, as
 a written table, name the files of the attempts that count. A second job renames them, and the manifest,
 written last, with Spark's commit marker, makes the archive valid.
@@ -19,19 +20,21 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearvote.llm.common import new_path, written
 
 SHARD_BYTES = 32_000_000
 ROLL_BYTES = 8_000_000
-#: Cells of the histogram of ids: a bound on what the driver holds.
-MOST_CELLS = 1 << 20
+#: Keys that bounds are chosen from, about: a bound on what the driver holds; keys for each shard then.
+MOST_KEYS = 1 << 20
+KEYS_A_SHARD = 4
 #: Tasks that read an archive at most.
 MOST_READERS = 20_000
 DATE = "1970-01-01T00:00:00Z"
@@ -40,7 +43,9 @@ MANIFEST = "shard int, file string, temporary string, records long, bytes long,
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-PACKED = "page_id long, url string, payload_bytes long, sha1 string, member binary"
+PACKED = "page_id long, url string, payload_bytes long, sha1 string, member binary, shard int"
+#: (page id, first 32 bits of the SHA-1): what records sort by, as far as bounds know.
+Key = tuple[int, int]
 
 
 def _digest(data: bytes) -> str:
@@ -48,8 +53,17 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def packed(pages: DataFrame) -> DataFrame:
-    """PACKED: each page with its compressed response record, so that html is shuffled small."""
+def _key(page_id: int | None, head: int) -> Key:
+    """Null ids sort first."""
+    return (-(1 << 63) - 1 if page_id is None else page_id, head)
+
+
+def _shard(bounds: list[Key], page_id: int | None, sha1: str) -> int:
+    return bisect_right(bounds, _key(page_id, int(sha1[:8], 16)))
+
+
+def packed(pages: DataFrame, bounds: list[Key]) -> DataFrame:
+    """PACKED: each page with its compressed response record, so that html is shuffled small, and its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,36 +71,53 @@ def packed(pages: DataFrame) -> DataFrame:
                 out = []
                 for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                     payload = (html or "").encode("utf-8")
-                    out.append((page_id, url, len(payload), hashlib.sha1(payload).hexdigest(), _member(record(page_id, url, payload, len(payload), _digest(payload), "response", None))))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+                    sha1, member = hashlib.sha1(payload).hexdigest(), _member(record(page_id, url, payload, len(payload), _digest(payload), "response", None))
+                    out.append((page_id, url, len(payload), sha1, member, _shard(bounds, page_id, sha1)))
+                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, PACKED)
 
 
-def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, sha1, keeper): the pages that revisit the page `keeper`. Without html in any shuffle."""
+def keys(pages: DataFrame) -> DataFrame:
+    """(page_id, sha1, size) of each page's payload, as a table: all that shards and revisits need to know."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size")).where(F.col("size") >= min_bytes)
-    # Only payloads that several rows have take part in the join.
-    groups = keys.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1 and keeper is not null").select("sha1", "keeper")
-    return keys.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "sha1", "keeper").distinct()
+    return written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size")), "warc-keys")
 
 
-def _shard_of(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column, int]:
-    """A table (cell, shard) of at most MOST_CELLS rows, the cell of a page, and the number of shards."""
-    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))) + 400
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
-    low, high = low or 0, high or 0
-    cells = int(min(MOST_CELLS, max(64, 8 * (total or 0) // shard_bytes)))
-    width = max(1, -(-(int(high) - int(low) + 1) // cells))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(int(low))) / F.lit(width)).cast("int"), F.lit(0))
-    rows = pages.select(cell.alias("cell"), size.alias("size")).groupBy("cell").agg(F.sum("size").alias("size")).orderBy("cell").toPandas()
-    before = rows["size"].cumsum() - rows["size"]
-    shard = (before // shard_bytes).astype(int).rank(method="dense").astype(int) - 1
-    table = [(int(c), int(s)) for c, s in zip(rows["cell"], shard, strict=True)]
-    return pages.sparkSession.createDataFrame(table, "cell int, shard int"), cell, max(1, int(shard.max() + 1) if len(shard) else 1)
+def revisits(known: DataFrame, bounds: list[Key], min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, keeper, shard): the pages among `known` (keys) that revisit the page `keeper`."""
+    large = known.where(F.col("size") >= min_bytes).select("page_id", "sha1")
+    # Only payloads that several rows have take part in the join.
+    groups = large.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1 and keeper is not null").select("sha1", "keeper")
+    found = large.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "sha1", "keeper").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards = [_shard(bounds, p, h) for p, h in zip(b.column("page_id").to_pylist(), b.column("sha1").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.int32())], [*b.schema.names, "shard"])
+
+    return found.mapInArrow(run, "page_id long, sha1 string, keeper long, shard int")
+
+
+def shard_bounds(known: DataFrame, shard_bytes: int) -> list[Key]:
+    """The first keys of all shards but the first: at most about MOST_KEYS / KEYS_A_SHARD."""
+    head = F.conv(F.substring("sha1", 1, 8), 16, 10).cast("long")
+    sizes = written(known.select("page_id", head.alias("head"), (F.col("size") + 400).alias("size")).groupBy("page_id", "head").agg(F.sum("size").alias("size")), "warc-sizes")
+    n, total = sizes.agg(F.count("*"), F.sum("size")).first()
+    if n > MOST_KEYS:
+        chosen = F.pmod(F.xxhash64("page_id", "head"), F.lit(1 << 40)) < F.lit(int((1 << 40) * MOST_KEYS / n))
+        sizes, shard_bytes = sizes.where(chosen), max(shard_bytes, -(-total * KEYS_A_SHARD // MOST_KEYS))
+    rows = sorted((_key(p, h), size) for p, h, size in zip(*(c.to_pylist() for c in sizes.toArrow().select(["page_id", "head", "size"]).columns), strict=True))
+    seen = sum(size for _, size in rows)
+    bounds, before, shard = [], 0, 0
+    for key, size in rows:
+        if (at := before * total // seen // shard_bytes) > shard:
+            bounds.append(key)
+            shard = at
+        before += size
+    return bounds
 
 
 def _header(kind: str, record_id: str, length: int, more: list[tuple[str, str]]) -> bytes:
@@ -114,11 +145,12 @@ def _member(data: bytes) -> bytes:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) under `path`, and returns the manifest."""
     spark = pages.sparkSession
-    table, cell, shards = _shard_of(pages, shard_bytes)
+    known = keys(pages)
+    bounds = shard_bounds(known, shard_bytes)
     # A mark (no member) comes before the records that it makes revisits; so members are shuffled once.
-    marks = revisits(pages, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("payload_bytes"), "sha1", F.lit(None).cast("binary").alias("member"), "keeper")
-    rows = packed(pages).withColumn("keeper", F.lit(None).cast("long")).unionByName(marks).withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell")
-    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", F.col("member").isNotNull(), "url")
+    marks = revisits(known, bounds, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("payload_bytes"), "sha1", F.lit(None).cast("binary").alias("member"), "keeper", "shard")
+    rows = packed(pages, bounds).withColumn("keeper", F.lit(None).cast("long")).unionByName(marks)
+    rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", F.col("member").isNotNull(), "url")
     names = ["page_id", "url", "payload_bytes", "sha1", "member", "keeper"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

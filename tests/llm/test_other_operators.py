@@ -101,6 +101,17 @@ def test_archives_are_the_same_each_time_and_roll(spark, tmp_path):
         warc.read_archive(spark, path).collect()
 
 
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_shards_of_uneven_ids(spark, tmp_path, monkeypatch, most):
+    """One far id, and an id that a third of the pages share; all keys, or some, choose the bounds."""
+    monkeypatch.setattr(warc, "MOST_KEYS", most)
+    rows = spark.range(600).selectExpr("case when id = 0 then 1L << 60 when id % 3 = 0 then 7 when id % 50 = 1 then null else id end as page_id", "'http://h/' as url", "repeat(sha2(cast(id as string), 512), 20) as html")
+    manifest = warc.write_archive(rows, f"file://{tmp_path}/a", shard_bytes=100_000)
+    sizes = [r.n for r in manifest.groupBy("shard").agg({"records": "sum"}).toDF("shard", "n").collect()]
+    assert sum(sizes) == 600 and len(sizes) >= 10 and max(sizes) <= 120
+    assert warc.read_archive(spark, f"file://{tmp_path}/a").count() == 600
+
+
 DATA = "/root/testdata/sf0.001"
 
 
