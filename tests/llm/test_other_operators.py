@@ -139,3 +139,45 @@ def test_pipeline(spark):
     five = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in five} == left
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "packing"]
+
+
+EDGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key long, secret_spans string, fp long, component_id long, label int, y int, item_id long"
+
+
+def edge_rows():
+    good = "The harbour was quiet in winter, and the river carried paper boats. A green light shone over the stone bridge.\nPeople walked home slowly, and nobody spoke of the storm that had passed in the night."
+    rows = [(i, f"{good} This is story {i}: {' '.join(f'part{i * 40 + k}' for k in range(30))}.") for i in range(12)]
+    rows += [(20, good + " password = hunter2222"), (20, good + " password = hunter2222"), (None, None), (None, good), (21, None), (22, ""), (23, " \n\t"), (24, "a " * 30_000), (25, "one"), (26, "buy now | $$$ !!!\n" * 30), (27, good + " " + ITEM), (28, None)]
+    return [(i, t, None, "s" if i else None, len(t) if t else None, 1, "x", 2, 3, 4, 5, 6) for i, t in rows]
+
+
+ITEM = "Which of the following planets has the largest number of known moons, and in which year was the first of these moons seen through a telescope?"
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names; and tables without rows."""
+    import corpus_pipeline
+
+    tables = {
+        "documents": spark.createDataFrame(edge_rows(), EDGE_DOCS),
+        "labels": spark.createDataFrame([(i, 1, 0, "z") for i in range(12)] + [(26, 0, 1, "z"), (24, 0, 0, "z"), (None, 1, 1, None), (20, None, None, None)], "doc_id long, quality int, toxic int, text string"),
+        "benchmark": spark.createDataFrame([(0, ITEM, "q"), (1, None, None), (None, ITEM, "q"), (2, "", "q")], "item_id long, text string, doc_id string"),
+    }
+    for k, whole in (("rows", True), ("none", False)):
+        for name, table in tables.items():
+            (table if whole else table.limit(0)).write.parquet(f"file://{tmp_path}/{k}/{name}.parquet")
+    place = f"file://{tmp_path}/rows"
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    stages, seen = dict(corpus_pipeline.STAGES), lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for name in ("quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans"):
+        assert stages[name](spark, docs, place).columns == docs.columns
+    assert {26, 24, 21, 25} & {d for d, _ in seen(stages["quality_rules"](spark, docs, place))} == set()
+    assert [d for d, _ in seen(stages["ngram_jaccard_join"](spark, docs, place))].count(None) == 2
+    assert {r.doc_id for r in docs.collect()} - {d for d, _ in seen(stages["benchmark_decontamination"](spark, docs, place))} == {27}
+    clean = stages["secret_scans"](spark, docs, place)
+    assert seen(clean) == sorted([(r[0], r[1] and r[1].replace("password = hunter2222", "[SECRET]")) for r in edge_rows()], key=str)
+    assert {(r.secret_spans, r._key) for r in clean.collect()} == {("x", 1)}
+    packed = stages["packing"](spark, docs, place).collect()
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0) and sum(r.start == 0 for r in packed) == len(edge_rows())
+    assert {r.doc_id for r in corpus_pipeline.run(spark, place).collect()} >= {None, *range(12)}
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
