@@ -5,8 +5,14 @@ the bound are verified by banded alignment.
 Texts are compared as bytes, with ASCII letters in lower case and runs of ASCII white space as one blank.
 A window of w bytes may differ by EDITS = w * EDIT_SHARE edits; then it shares at least w - Q + 1 - Q * EDITS
 q-grams with its region, whose diagonals lie within EDITS of each other. Windows of WINDOW bytes, half of
-one apart, cover an item; a document is contaminated by it if at least MIN_COVER of its bytes lie in verified
-windows.
+one apart, cover an item.
+
+Besides, verbatim stretches (runs of shared q-grams on one diagonal) cover the item's bytes that they hold, so
+truncated passages and passages with replaced words count by what is left of them. Stretches of LONG bytes count
+wherever they are in the document, shorter ones if their diagonals lie in one band of half the item's length.
+
+A document is contaminated by an item if at least MIN_COVER of its bytes, and MIN_MATCH bytes, are covered by both
+together. `edits` are those of the verified windows.
 
 Items are taken in blocks of at most BLOCK_BYTES, each block against all documents; so the table of q-grams
 that goes to the executors has a bounded size. Null or empty documents and items, and items shorter than
@@ -32,6 +38,8 @@ WINDOW = 96
 EDIT_SHARE = 0.06
 MIN_COVER = 0.5
 MIN_ITEM = 48
+MIN_MATCH = 40
+LONG = 32
 BLOCK_BYTES = 4_000_000
 SCHEMA = "doc_id long, item_id long, start long, length long, edits int, cover double"
 _P = U(0x9E3779B97F4A7C15)
@@ -119,6 +127,74 @@ def edit_distances(patterns: list[bytes], regions: list[bytes], most: int) -> np
     return cost.min(axis=1)
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """The numbers, from 0, of the runs of equal keys in sorted rows."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def _union(group: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """By group, from 0, the bytes of the union of its stretches [s, e)."""
+    order = np.lexsort((s, group))
+    group, s, e = group[order], s[order], e[order]
+    lift = group * (int(e.max()) + 1)
+    top = np.maximum.accumulate(e + lift)
+    before = np.concatenate(([0], top[:-1])) - lift
+    return np.bincount(group, np.maximum(0, e - np.maximum(s, before)), int(group[-1]) + 1).astype(np.int64)
+
+
+@dataclass
+class Stretches:
+    """Verbatim stretches of items in documents, sorted by document, item and diagonal: [start, stop) in the item."""
+
+    doc: np.ndarray
+    item: np.ndarray
+    diagonal: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+
+    @staticmethod
+    def of(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> Stretches:
+        """From q-gram hits; hits may repeat."""
+        order = np.lexsort((place, diagonal, item, doc))
+        doc, item, diagonal, place = doc[order], item[order], diagonal[order], place[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] > place[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(doc)])) - 1
+        return Stretches(doc[first], item[first], diagonal[first], place[first], place[last] + Q)
+
+    def bands(self, sizes: np.ndarray, shift: int) -> np.ndarray:
+        """Bands of half an item's length, each half of one apart; so diagonals a quarter apart share one."""
+        step = np.maximum(16, sizes[self.item] // 4)
+        return (self.diagonal + shift * step) // (2 * step)
+
+    def likely(self, sizes: np.ndarray, known: dict[tuple[int, int], int]) -> Iterator[tuple[int, int, slice]]:
+        """(document, item, rows) where the best band, all long stretches and the `known` bytes could suffice."""
+        pair = _groups(self.doc, self.item)
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        best = np.zeros(len(first), np.int64)
+        for shift in (0, 1):
+            band = _groups(self.doc, self.item, self.bands(sizes, shift))
+            np.maximum.at(best, pair[np.flatnonzero(np.diff(band, prepend=-1))], _union(band, self.start, self.stop))
+        long = self.stop - self.start >= LONG
+        if long.any():
+            some, own = np.unique(pair[long], return_inverse=True)
+            best[some] += _union(own, self.start[long], self.stop[long])
+        stop = np.concatenate((first[1:], [len(pair)]))
+        need = _need(sizes[self.item[first]])
+        for d, i, a, b, n, m in zip(*(x.tolist() for x in (self.doc[first], self.item[first], first, stop, best, need)), strict=True):
+            if n + known.get((d, i), 0) >= m:
+                yield d, i, slice(a, b)
+
+
+def _need(size):
+    """The least covered bytes of an item that contaminate."""
+    return np.maximum(np.ceil(MIN_COVER * size), np.minimum(MIN_MATCH, size))
+
+
 def matches(docs: list[bytes], items: Items) -> list[tuple[int, int, int, int, int, float]]:
     """(document, item, start, length, edits, cover) of each contaminated document and item; start and length
     are of the region in the plain document, in bytes."""
@@ -138,7 +214,8 @@ def matches(docs: list[bytes], items: Items) -> list[tuple[int, int, int, int, i
     doc = np.searchsorted(begin, at, "right") - 1
     window, place = items.owner[entry], items.place[entry]
     diagonal = at - begin[doc] - place  # where the window would begin in the document
-    edits, width = items.windows[window, 3], items.windows[window, 2]
+    edits = items.windows[window, 3]
+    verbatim = Stretches.of(doc, items.windows[window, 0], diagonal - items.windows[window, 1], place + items.windows[window, 1])
     kept = []
     for shift in (0, 1):  # bands of 2 * (edits + 1) diagonals, each half of one apart
         step = edits + 1
@@ -179,16 +256,37 @@ def matches(docs: list[bytes], items: Items) -> list[tuple[int, int, int, int, i
                 if c <= e:
                     item, start = items.windows[k, :2].tolist()
                     found.setdefault((d, item), []).append((start, w, left + e, int(c)))
-    out = []
-    for (d, item), hits in sorted(found.items()):
-        covered = np.zeros(len(items.texts[item]), bool)
-        best: dict[int, int] = {}
-        for start, w, _, c in hits:
+    sizes = np.array([len(x) for x in items.texts])
+    base: dict[tuple[int, int], np.ndarray] = {}
+    for (d, item), hits in found.items():
+        covered = base[d, item] = np.zeros(sizes[item], bool)
+        for start, w, _, _ in hits:
             covered[start : start + w] = True
-            best[start] = min(c, best.get(start, c))
-        if covered.mean() >= MIN_COVER:
-            where = min(h[2] for h in hits)
-            out.append((d, items.ids[item], where, max(h[2] + h[1] for h in hits) - where, sum(best.values()), float(covered.mean())))
+    best = {pair: (covered, []) for pair, covered in base.items()}
+    for d, item, rows in verbatim.likely(sizes, {pair: int(covered.sum()) for pair, covered in base.items()}):
+        start, stop, diagonal = verbatim.start[rows], verbatim.stop[rows], verbatim.diagonal[rows]
+        whole = Stretches(verbatim.doc[rows], verbatim.item[rows], diagonal, start, stop)
+        for shift in (0, 1):
+            band = whole.bands(sizes, shift)
+            for b in np.unique(band):
+                use = (band == b) | (stop - start >= LONG)
+                steps = np.bincount(start[use], minlength=sizes[item] + 1) - np.bincount(stop[use], minlength=sizes[item] + 1)
+                covered = np.cumsum(steps)[: sizes[item]] > 0
+                if (d, item) in base:
+                    covered |= base[d, item]
+                if (d, item) not in best or covered.sum() > best[d, item][0].sum():
+                    at = diagonal[use] + start[use]
+                    best[d, item] = covered, list(zip(at.tolist(), (at + stop[use] - start[use]).tolist(), strict=True))
+    out = []
+    for (d, item), (covered, places) in sorted(best.items(), key=lambda x: x[0]):
+        if covered.sum() >= _need(sizes[item]):
+            hits = found.get((d, item), [])
+            edits: dict[int, int] = {}
+            for start, _, _, c in hits:
+                edits[start] = min(c, edits.get(start, c))
+            places = places + [(h[2], h[2] + h[1]) for h in hits]
+            where = min(p[0] for p in places)
+            out.append((d, items.ids[item], where, max(p[1] for p in places) - where, sum(edits.values()), float(covered.mean())))
     return out
 
 

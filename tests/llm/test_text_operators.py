@@ -270,6 +270,54 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_truncated_and_edited_passages(spark):
+    rng = random.Random(11)
+    items = [words(rng, n) for n in (12, 14, 16, 24, 30, 45)] + [words(rng, 20)[:110]]
+    cut = lambda t, share: (lambda w, k: " ".join(w[(len(w) - k) // 2 : (len(w) + k) // 2]))(t.split(), round(len(t.split()) * share))
+    swap = lambda t: " ".join("replacement" if i % 5 == 2 else w for i, w in enumerate(t.split()))
+    parts = lambda t: t[: len(t) // 2 - 5] + " " + words(rng, 60) + " " + t[len(t) // 2 + 5 :]
+    edits = [lambda t: cut(t, 0.9), lambda t: cut(t, 0.7), lambda t: t[10 : max(100, 9 * len(t) // 10)], swap, parts, lambda t: t[: len(t) // 3]]
+    texts, want = [], set()
+    for k, edit in enumerate(edits):
+        for i, item in enumerate(items):
+            if k < 5:
+                want.add((len(texts), i))
+            texts.append(f"{words(rng, 9)} {edit(item)} {words(rng, 9)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean_documents(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_cover_equals_brute_force():
+    """Without verified windows (every other word is replaced, or items are cut into parts), cover is that of a naive search."""
+    rng, found = random.Random(12), 0
+    for _ in range(150):
+        item = words(rng, rng.randint(10, 25))
+        pieces, doc = item.split(), words(rng, 3)
+        while pieces:
+            n = rng.randint(1, 5)
+            doc += " " + " ".join(pieces[:n]) + " " + words(rng, rng.choice([0, 1, 1, 2, 12]))
+            pieces = pieces[n + rng.randint(0, 2) :]
+        a, b = decontaminate.plain(item), decontaminate.plain(doc)
+        hits = {(j - i, i) for i in range(len(a) - 11) for j in range(len(b) - 11) if a[i : i + 12] == b[j : j + 12]}
+        runs = []
+        for d, i in hits:
+            if (d, i - 1) not in hits:
+                n = next(n for n in itertools.count(1) if (d, i + n) not in hits)
+                runs.append((d, i, i + n + 11))
+        step, best = max(16, len(a) // 4), 0
+        for shift in (0, 1):
+            for band in {(d + shift * step) // (2 * step) for d, _, _ in runs}:
+                best = max(best, len({k for d, i, j in runs if j - i >= 32 or (d + shift * step) // (2 * step) == band for k in range(i, j)}))
+        got = decontaminate.matches([b"some other text", b], decontaminate.Items.of([(5, a)]))
+        if not any(r[4] for r in got):
+            windows = [(s, w) for _, s, w, _ in decontaminate.Items.of([(5, a)]).windows.tolist() if a[s : s + w] in b]
+            if not windows:
+                assert [(r[0], r[1], round(r[5] * len(a))) for r in got] == ([(1, 5, best)] if best >= max(40, len(a) / 2) else [])
+                found += len(got)
+    assert found > 20
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
     items = [words(rng, 25) for _ in range(8)]
