@@ -2,7 +2,8 @@
 with a region of a document, in one of the overlapping bands of diagonals, or are dropped; regions that meet
 the bound are verified by banded alignment.
 
-Texts are compared as bytes, with ASCII letters in lower case and runs of ASCII white space as one blank.
+Texts are compared as UTF-8 bytes, case-folded, in Unicode's composed form (NFC), and with runs of ASCII white
+space as one blank.
 A window of w bytes may differ by EDITS = w * EDIT_SHARE edits; then it shares at least w - Q + 1 - Q * EDITS
 q-grams with its region, whose diagonals lie within EDITS of each other. Windows of WINDOW bytes, half of
 one apart, cover an item.
@@ -21,6 +22,7 @@ MIN_ITEM bytes, match nothing. Repeated items and documents give rows of their o
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -46,7 +48,12 @@ _P = U(0x9E3779B97F4A7C15)
 
 
 def plain(text: str | None) -> bytes:
-    return b" ".join((text or "").encode("utf-8").lower().split())
+    text = text or ""
+    if text.isascii():
+        text = text.lower()
+    else:  # folded letters can be decomposed, and letters that are composed first can fold to others
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return b" ".join(text.encode("utf-8").split())
 
 
 def grams(a: np.ndarray) -> np.ndarray:

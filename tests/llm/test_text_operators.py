@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -270,6 +271,15 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_case_and_accents(spark):
+    item = "Où l'élève dépassé préférait-il être, à l'été où naquît l'œuvre ? ¿Qué señal envió la compañía ñandú? Größe, Straße, Öl und Übermut läßt grüßen."
+    texts = [item.upper(), unicodedata.normalize("NFD", item), unicodedata.normalize("NFD", item.upper()), item.title(), unicodedata.normalize("NFD", item).upper()]
+    bench = spark.createDataFrame([(0, item), (1, unicodedata.normalize("NFD", item.upper()))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.cover, r.edits) for r in decontaminate.contaminated(docs(spark, [*texts, "ÉÈ " * 60]), bench).collect()}
+    assert got == {(d, i): (1.0, 0) for d in range(5) for i in range(2)}
+    assert {decontaminate.plain(t) for t in texts} == {decontaminate.plain(item)}
+
+
 def test_truncated_and_edited_passages(spark):
     rng = random.Random(11)
     items = [words(rng, n) for n in (12, 14, 16, 24, 30, 45)] + [words(rng, 20)[:110]]
