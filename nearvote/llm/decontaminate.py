@@ -16,8 +16,10 @@ A document is contaminated by an item if at least MIN_COVER of its bytes, and MI
 together. `edits` are those of the verified windows.
 
 Items are taken in blocks of at most BLOCK_BYTES, each block against all documents; so the table of q-grams
-that goes to the executors has a bounded size. Null or empty documents and items, and items shorter than
-MIN_ITEM bytes, match nothing. Repeated items and documents give rows of their own.
+that goes to the executors has a bounded size. Items shorter than MIN_ITEM bytes, down to one character, match
+where they are whole and verbatim, and don't begin or end amid a word (an edge that is a letter, digit or underscore has
+none beside it). Null or empty documents and items match nothing. Repeated items and documents give rows of
+their own.
 """
 
 from __future__ import annotations
@@ -73,10 +75,86 @@ def grams(a: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
+def _rolling(a: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(q, hashes of the grams of q bytes) for q from 1 to `most`; each from the one before."""
+    w, a = np.zeros(len(a) + 1, U), a.astype(U)
+    for q in range(1, min(most, len(a)) + 1):
+        w = w[:-1] * _P + (a[q - 1 :] + U(1))
+        yield q, w
+
+
+@dataclass
+class Shorts:
+    """Items shorter than MIN_ITEM. Each is looked up by one of its grams of at most Q bytes, the one that the fewest
+    of them share: `tables` has by q the sorted hashes, the items' numbers, and the last 16 bits that occur."""
+
+    ids: list[int]
+    texts: list[bytes]
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(rows: list[tuple[int, bytes]]) -> Shorts:
+        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+        by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, text in enumerate(texts):
+            *_, (q, h) = _rolling(np.frombuffer(text, np.uint8), Q)
+            by_q.setdefault(q, []).append((i, h))
+        tables = {}
+        for q, own in by_q.items():
+            known, count = np.unique(np.concatenate([np.unique(h) for _, h in own]), return_counts=True)
+            h = np.array([h[np.argmin(count[np.searchsorted(known, h)])] for _, h in own], U)
+            order = np.argsort(h, kind="stable")
+            last = np.zeros(1 << 16, bool)
+            last[(h & U(0xFFFF)).astype(np.int64)] = True
+            tables[q] = h[order], np.array([i for i, _ in own], np.int64)[order], last
+        return Shorts(ids, texts, tables)
+
+    def matches(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int, float]]:
+        """As `matches` below gives them; the first place of each item in a document."""
+        if not self.tables or not docs:
+            return []
+        pairs = []
+        begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
+        for q, w in _rolling(np.frombuffer(b"\n".join(docs) + b"\n", np.uint8), max(self.tables)):
+            if q in self.tables:
+                hashes, numbers, last = self.tables[q]
+                at = np.flatnonzero(last[(w & U(0xFFFF)).astype(np.int64)])
+                lo, hi = np.searchsorted(hashes, w[at], "left"), np.searchsorted(hashes, w[at], "right")
+                doc, some = np.searchsorted(begin, at, "right") - 1, hi > lo
+                for d, a, b in np.unique(np.stack([doc[some], lo[some], hi[some]], axis=1), axis=0).tolist():
+                    pairs.extend((d, i) for i in numbers[a:b].tolist())
+        out, text, known = [], "", -1
+        for d, i in sorted(pairs):
+            if self.texts[i] in docs[d]:
+                if d != known:
+                    text, known = docs[d].decode("utf-8"), d
+                item = self.texts[i].decode("utf-8")
+                at = _whole(text, item)
+                if at >= 0:
+                    out.append((d, self.ids[i], len(text[:at].encode("utf-8")), len(self.texts[i]), 0, 1.0))
+        return out
+
+
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_" or unicodedata.category(c)[:1] == "M"
+
+
+def _whole(text: str, item: str) -> int:
+    """The first place where the item is in the text and cuts no word, or -1."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and _word(item[0]) and _word(text[at - 1])) and not (end < len(text) and _word(item[-1]) and _word(text[end])):
+            return at
+        at = text.find(item, at + 1)
+    return -1
+
+
 @dataclass
 class Items:
     """A block of items: their plain bytes, windows (item, start, width, edits), and the q-gram table sorted by
-    hash, with the window and the place in it; `first` marks the first 22 bits of hashes that occur."""
+    hash, with the window and the place in it; `first` marks the first 22 bits of hashes that occur. `shorts` has
+    those shorter than MIN_ITEM."""
 
     ids: list[int]
     texts: list[bytes]
@@ -85,9 +163,11 @@ class Items:
     owner: np.ndarray
     place: np.ndarray
     first: np.ndarray
+    shorts: Shorts
 
     @staticmethod
     def of(rows: list[tuple[int, bytes]]) -> Items:
+        shorts = Shorts.of([r for r in rows if 0 < len(r[1]) < MIN_ITEM])
         ids, texts, windows, hs, owner, place = [], [], [], [], [], []
         for item_id, text in rows:
             n = len(text)
@@ -109,7 +189,7 @@ class Items:
         first = np.zeros(1 << 22, bool)
         first[(h >> U(42)).astype(np.int64)] = True
         join = lambda x: np.concatenate(x)[order] if x else np.empty(0, np.int64)
-        return Items(ids, texts, np.array(windows, np.int64).reshape(-1, 4), h[order], join(owner), join(place), first)
+        return Items(ids, texts, np.array(windows, np.int64).reshape(-1, 4), h[order], join(owner), join(place), first, shorts)
 
 
 def edit_distances(patterns: list[bytes], regions: list[bytes], most: int) -> np.ndarray:
@@ -205,6 +285,11 @@ def _need(size):
 def matches(docs: list[bytes], items: Items) -> list[tuple[int, int, int, int, int, float]]:
     """(document, item, start, length, edits, cover) of each contaminated document and item; start and length
     are of the region in the plain document, in bytes."""
+    return sorted(_long_matches(docs, items) + items.shorts.matches(docs))
+
+
+def _long_matches(docs: list[bytes], items: Items) -> list[tuple[int, int, int, int, int, float]]:
+    """Those of items of MIN_ITEM bytes or more."""
     if not len(items.hashes) or not docs:
         return []
     sizes = np.array([len(d) + 1 for d in docs])

@@ -280,6 +280,19 @@ def test_case_and_accents(spark):
     assert {decontaminate.plain(t) for t in texts} == {decontaminate.plain(item)}
 
 
+def test_short_items(spark):
+    items = ["What is 2+2?", "Name the capital of Élise's land", "yes", "7", "¿Qué?", "ab", "(x)", "what is the", "what is the sum", "漢字", "Name the capital of Élise's land"]
+    texts = ["He asked: «WHAT  is\n2+2?» at once", "name the capital of ÉLISE'S LAND", "name the capital of élise's lands", "yesterday 77 x7 cab abc", "Yes, 7.", "f(x)=1 ¿qué?", "eyes ab", "what is there", "what is the summer", "what is the sum of 漢字?", "漢字典", *EDGES, "abc " * 40 + "ab"]
+    bench = spark.createDataFrame([*enumerate(items), (90, ""), (91, None), (92, " \n")], "item_id long, text string")
+    rows = decontaminate.contaminated(docs(spark, texts), bench).collect()
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if re.search(r"(?<!\w)" * x[0].isalnum() + re.escape(" ".join(x.casefold().split())) + r"(?!\w)" * x[-1].isalnum(), " ".join((t or "").casefold().split()))}
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+    assert {(0, 0), (1, 1), (1, 10), (4, 2), (4, 3), (5, 4), (5, 6), (6, 5), (8, 7), (9, 8), (len(texts) - 1, 5)} <= want and not {d for d, _ in want} & {2, 3, 7, 10}
+    for r in rows:
+        assert (r.edits, r.cover) == (0, 1.0) and decontaminate.plain(texts[r.doc_id])[r.start : r.start + r.length] == decontaminate.plain(items[r.item_id])
+    assert {r.doc_id for r in decontaminate.clean_documents(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_truncated_and_edited_passages(spark):
     rng = random.Random(11)
     items = [words(rng, n) for n in (12, 14, 16, 24, 30, 45)] + [words(rng, 20)[:110]]
