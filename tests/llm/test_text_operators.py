@@ -257,6 +257,26 @@ def test_ids_are_those_of_tokenizers(text):
     assert packing.tokenizer()(text) == known.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u00a0", " \t\r\n\u3000", "\u0085\u2028"])
+def test_long_white_space_keeps_its_ids(space):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    known.encode_special_tokens = True
+    encode, run = packing.tokenizer(), (space * 1_000_000)[:1_000_000]
+    near = (space * packing.LONG_RUN)[: packing.LONG_RUN]
+    for text in (f"one{run}two", f"{run}.", f"it's{run}", f"a {near}'s {near[1:]}7{near}\x1c{near} b", near, f"x\x1c{near}\x1cx"):
+        assert encode(text) == known.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space(spark):
+    texts = ["one" + " " * 1_000_000 + "two", "three"]
+    pieces = packing.pack_documents(docs(spark, texts)).collect()
+    built = {i: sum(p.length for p in pieces if p.doc_id == i) for i in (0, 1)}
+    assert built == {0: 1_000_002, 1: len(packing.tokenizer()("three")) + 1}
+
+
 def test_contamination(spark):
     rng = random.Random(8)
     items = [words(rng, 30) for _ in range(6)]
