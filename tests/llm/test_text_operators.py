@@ -219,6 +219,34 @@ def test_trigram_queries():
     assert ways["hex"] == [] and ["aki", "kia"] in ways["access"] and ["cre", "ecr", "ret", "sec"] in ways["assign"]
 
 
+def skeletons(parsed):
+    """The texts that a parsed pattern asks for, with a NUL where it leaves a choice; wider classes are choices."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= 8:
+            ways = [chr(c) for _, c in arg]
+        elif name == "SUBPATTERN":
+            ways = skeletons(arg[3])
+        elif name == "BRANCH":
+            ways = [w for b in arg[1] for w in skeletons(b)]
+        elif name == "MAX_REPEAT":
+            own = skeletons(arg[2])
+            ways = (own if arg[1] == 1 else [w + "\0" for w in own]) if arg[0] else ["", *own] if arg[1] == 1 else ["\0"]
+        else:
+            ways = ["\0"]
+        out = [a + w for a in out for w in ways]
+    return out
+
+
+def test_trigram_queries_follow_from_patterns():
+    sound = lambda rule: not rule.query() or all(any(all(g in t.lower() for g in way) for way in rule.query()) for t in skeletons(re._parser.parse(rule.pattern)))
+    assert all(map(sound, secret_scan.RULES))
+    assert not sound(secret_scan.Rule("x", r"gh[po]_[a-z]+", 0, 1, (("ghp_",),))) and not sound(secret_scan.Rule("x", r"AKIA[A-Z]+", 0, 1, (("akib",),)))
+
+
 def test_packing(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
