@@ -109,9 +109,23 @@ def read_back(texts: DataFrame) -> DataFrame:
     return texts.select("*", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), parse).alias("turns"))
 
 
+def loss_text() -> Column:
+    """What `loss_runs` cut from `formatted`, unescaped; null if a run is out of order or beyond the turn that it begins in."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).alias("next"), F.col("loss_runs").alias("runs"), F.expr("cast(array() as array<string>)").alias("texts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.concat(x, F.lit(END))
+        end, run = acc["at"] + F.length(own), F.try_element_at(acc["runs"], acc["next"])
+        here = F.coalesce((run["start"] >= acc["at"]) & (run["start"] + run["length"] <= end), F.lit(False))
+        text = unescape(own.substr((run["start"] - acc["at"] + 1).cast("int"), run["length"].cast("int")))
+        return F.struct(end.alias("at"), F.when(here, acc["next"] + 1).otherwise(acc["next"]).alias("next"), acc["runs"].alias("runs"), F.when(here, F.array_append(acc["texts"], text)).otherwise(acc["texts"]).alias("texts"))
+
+    pieces = F.split("formatted", END, -1)
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), zero, step, lambda acc: F.when(acc["next"] > F.size(acc["runs"]), F.array_join(acc["texts"], "")))
+
+
 def report(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid)."""
-    back = read_back(formatted(turns))
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid); what is under the loss mask is cut by the mask."""
+    back = read_back(formatted(turns)).withColumn("loss", loss_text())
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")

@@ -6,6 +6,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from nearvote.llm import chat_format, queries, url_filter, warc
 
@@ -67,6 +68,16 @@ def test_chat_round_trip(spark):
     assert chat_format.report(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start, length", [(1, -1), (0, -1), (0, 1), (-1, 0)])
+def test_loss_digest_checks_the_mask(spark, monkeypatch, start, length):
+    turns = spark.createDataFrame([(1, 0, "user", "a <b>"), (1, 1, "assistant", "c [d] & e"), (1, 2, "user", "f"), (1, 3, "assistant", "gh")], "conv_id long, turn long, role string, text string")
+    want, known = hashlib.sha256(b"c [d] & egh").hexdigest(), chat_format.formatted
+    assert [(r.loss_sha256, r.loss_chars) for r in chat_format.report(turns).collect()] == [(want, 11)]
+    moved = F.transform("loss_runs", lambda x: F.struct((x["start"] + start).alias("start"), (x["length"] + length).alias("length")))
+    monkeypatch.setattr(chat_format, "formatted", lambda t: known(t).withColumn("loss_runs", moved))
+    assert chat_format.report(turns).first().loss_sha256 != want
+
+
 def pages(spark):
     rows = [(1, "http://a/\n x", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "ü" * 70_000), (9, "u", "same"), (9, "u", "same"), (None, "u", "same"), (None, "v", "alone"), (-5, "u", "other")]
     return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, keeper long")
