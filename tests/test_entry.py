@@ -36,6 +36,15 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got.columns, got.collect()) == rows_of(list(want.columns), [[x.item() if hasattr(x, "item") else x for x in r] for r in want.itertuples(index=False)])
 
 
+def test_evaluation_file_holds_all_events(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(engine, "shared", lambda spark: f"file://{tmp_path}/entries")
+    got = engine.Q["eval_explode"](spark, DATA).count()
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    ids = spark.read.json(f"file://{tmp_path}/entries").selectExpr("inline(entries)").selectExpr("cast(request.id as long) AS event_id")
+    assert sorted(r.event_id for r in ids.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
+    assert got == events.where("event_id % 100 = 0").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
