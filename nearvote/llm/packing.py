@@ -8,7 +8,7 @@ but the last of a task are full, and tiers are powers of two. A task packs its o
 BLOCK_TOKENS; tokens are never shuffled, and a lost task is redone with the same result.
 
 Null texts are empty: one piece of END_ID alone. Rows with a null or repeated id are documents of their own.
-Other columns are ignored. Strings of special tokens in a text are ordinary text.
+Other columns are ignored. The string of the vocabulary's special token becomes that token, as its library has it.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ END_ID = 1
 #: Tokens of one step group; tokens that a task packs at a time.
 STEP_TOKENS = 32 * 2048
 BLOCK_TOKENS = 2_000_000
+#: Fixed value: the vocabulary's special token and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: White space as the tokenizer's pattern knows it; runs of LONG_RUN characters are encoded on their own.
 LONG_RUN = 65_536
 _LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
@@ -45,14 +47,14 @@ def tokenizer(path: str | None = None):
 
     The pattern steps back through a run of white space and panics on very long ones. It makes one piece of a run
     but its last character, or of all of a run at the end; so a long run's piece is merged without the pattern,
-    and the texts around it are encoded as ever."""
+    and the texts around it are encoded as ever. The texts around a special token are encoded apart."""
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     known = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(text: str) -> list[int]:
+    def plain(text: str) -> list[int]:
         if len(text) < LONG_RUN:
             return known.encode_ordinary(text)
         ids, at = [], 0
@@ -63,6 +65,14 @@ def tokenizer(path: str | None = None):
             at = stop
         return ids + known.encode_ordinary(text[at:])
 
+    def encode(text: str) -> list[int]:
+        first, *rest = text.split(SPECIAL)
+        ids = plain(first)
+        for part in rest:
+            ids.append(SPECIAL_ID)
+            ids += plain(part)
+        return ids
+
     return encode
 
 
