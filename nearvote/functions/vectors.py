@@ -26,6 +26,16 @@ def bool_to_int8(b: Column) -> Column:
     return b.cast("tinyint")
 
 
+def is_whole(v: Column, dims: int) -> Column:
+    """Whether v has `dims` numbers, none of them null. Searches and indexes leave out rows of other vectors."""
+    return F.coalesce((F.size(v) == dims) & ~F.exists(v, F.isnull), F.lit(False))
+
+
+def dim_differences(q: Column, block: Column, dim: int) -> Column:
+    """By vector of a block (an array of vectors), how far it is from q in one dimension."""
+    return F.transform(block, lambda v: F.get(q, F.lit(dim)).cast("bigint") - F.get(v, F.lit(dim)).cast("bigint"))
+
+
 def _sum(terms: list[Column]) -> Column:
     return reduce(add, terms)
 

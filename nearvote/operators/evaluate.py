@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,14 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """(n, agreed, share): queries on which two searches (q_id, frauds) approve alike."""
     both = a.select("q_id", (F.col("frauds") <= 2).alias("x")).join(b.select("q_id", (F.col("frauds") <= 2).alias("y")), "q_id")
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("agreed"), (F.count_if(F.col("x") == F.col("y")) / F.count("*")).alias("share"))
+
+
+def report(records: DataFrame) -> DataFrame:
+    """(section, fast_count, measure, value): the whole calibration as one table, to be written. fast_count is -1
+    where a value is for all counts."""
+    by, table = breakdown(records), thresholds(records)
+    all_ = F.lit(-1)
+    parts = [("breakdown", by, "fast_count", c) for c in ("n", "fast_wrong", "full_wrong", "fixable")] + [("thresholds", table, "fast_count", "threshold")]
+    parts += [("escalations", escalations(records, table), all_, c) for c in ("n", "escalations")] + [("confusion", confusion(records, table), all_, c) for c in ("false_positives", "false_negatives")]
+    rows = [df.select(F.lit(section).alias("section"), F.coalesce(key).cast("int").alias("fast_count"), F.lit(c).alias("measure"), F.col(c).cast("long").alias("value")) for section, df, key, c in parts]
+    return reduce(DataFrame.unionAll, rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearvote import schema as S
-from nearvote.functions.vectors import quantize, squared_l2
+from nearvote.functions.vectors import is_whole, quantize
 from nearvote.operators.topk import _matrix, distances
+from nearvote.session import written
 
 #: Clusters that an index may have; so the centroid table is small enough to go to every executor.
 MOST_CLUSTERS = 65_536
@@ -30,7 +31,8 @@ def centroid_array(centroids: DataFrame, dims: int) -> tuple[np.ndarray, np.ndar
 
 
 def nearest_centroids(rows: DataFrame, centroids: DataFrame, dims: int, n: int, vector: str = "v") -> DataFrame:
-    """rows with `probes`, an array of (cluster_id, d) of the n nearest centroids, ties to the lowest id."""
+    """rows with `probes`, an array of (cluster_id, d) of the n nearest centroids, ties to the lowest id. Rows whose
+    vector is null, has null numbers or not `dims` of them are left out."""
     ids, c = centroid_array(centroids, dims)
     whole = dict(rows.dtypes)[vector] not in ("array<double>", "array<float>")
     kind = "bigint" if whole else "double"
@@ -47,11 +49,11 @@ def nearest_centroids(rows: DataFrame, centroids: DataFrame, dims: int, n: int,
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), flat)
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "probes"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"probes array<struct<cluster_id:bigint,d:{kind}>>").fields]))
+    return rows.where(is_whole(F.col(vector), dims)).mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"probes array<struct<cluster_id:bigint,d:{kind}>>").fields]))
 
 
 def assign(rows: DataFrame, centroids: DataFrame, dims: int, vector: str = "v") -> DataFrame:
-    """rows with their nearest centroid's cluster_id and d."""
+    """rows of whole vectors with their nearest centroid's cluster_id and d."""
     near = nearest_centroids(rows, centroids, dims, 1, vector)
     return near.select(*rows.columns, F.col("probes")[0]["cluster_id"].alias("cluster_id"), F.col("probes")[0]["d"].alias("d"))
 
@@ -95,26 +97,64 @@ def train(rows: DataFrame, dims: int, k: int = S.CLUSTERS, iterations: int = S.I
     return centroids
 
 
+#: The layouts of an index: vectors alone; clusters without boxes and radius; clusters with all.
+FLAT, PLAIN, CLUSTERED = "flat", "clustered-plain", "clustered"
+
+
 @dataclass
 class Index:
-    """refs (ref_id, label, v, cluster_id, d, pos), and centroids (cluster_id, c, cnt, bmin, bmax, radius)."""
+    """refs (ref_id, label, v, cluster_id, d, pos), and centroids (cluster_id, c, cnt, bmin, bmax, radius). A flat
+    one has no clusters: refs (ref_id, label, v), and None."""
 
     refs: DataFrame
-    centroids: DataFrame
+    centroids: DataFrame | None
     dims: int
+    format: str = CLUSTERED
 
 
 def member_order(assigned: DataFrame) -> DataFrame:
-    """assigned with `pos`, the place in its cluster by distance to the centroid, then id: the scan order."""
-    return assigned.withColumn("pos", F.row_number().over(Window.partitionBy("cluster_id").orderBy("d", "ref_id")).cast("long"))
+    """assigned with `pos`, the place in its cluster by distance to the centroid, then id: the scan order.
+
+    Rows are cut into even ranges of that order, numbered within a range, and moved by what the cluster has in
+    ranges before; so a large cluster is many tasks' work."""
+    ranges = written(assigned.repartitionByRange("cluster_id", "d", "ref_id").withColumn("_part", F.spark_partition_id()), "ordered")
+    counts = ranges.groupBy("cluster_id", "_part").agg(F.count("*").alias("n"))
+    before = written(counts.select("cluster_id", "_part", (F.sum("n").over(Window.partitionBy("cluster_id").orderBy("_part")) - F.col("n")).alias("_before")), "ranges")
+    own = F.row_number().over(Window.partitionBy("cluster_id", "_part").orderBy("d", "ref_id"))
+    return ranges.withColumn("_own", own).join(before, ["cluster_id", "_part"]).withColumn("pos", (F.col("_before") + F.col("_own")).cast("long")).select(*assigned.columns, "pos")
+
+
+BOXES = "cluster_id long, cnt long, d long, lo array<int>, hi array<int>"
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of BOXES for each cluster of rows of BOXES: at most MOST_CLUSTERS of them are held."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        if not t.num_rows:
+            continue
+        cluster, cnt, d = (t.column(c).to_numpy() for c in ("cluster_id", "cnt", "d"))
+        lo, hi = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(cluster), -1) for c in ("lo", "hi"))
+        order = np.argsort(cluster, kind="stable")
+        starts = np.flatnonzero(np.diff(cluster[order], prepend=cluster[order[0]] - 1))
+        sides = [f.reduceat(x[order], starts, axis=0) for f, x in ((np.minimum, lo), (np.maximum, hi))]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.int32())) for x in sides]
+        held = pa.table([pa.array(cluster[order][starts]), pa.array(np.add.reduceat(cnt[order], starts)), pa.array(np.maximum.reduceat(d[order], starts)), *lists], names=["cluster_id", "cnt", "d", "lo", "hi"])
+    if held is not None:
+        yield from held.to_batches(max_chunksize=4096)
 
 
 def statistics(assigned: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
-    """(cluster_id, cnt, bmin, bmax, radius): empty clusters have an inside-out box and radius 0."""
-    lows, highs = ([f(F.get("v", F.lit(i)).cast("int")).alias(f"{n}{i}") for i in range(dims)] for f, n in ((F.min, "lo"), (F.max, "hi")))
-    got = assigned.groupBy("cluster_id").agg(F.count("*").alias("cnt"), F.sqrt(F.max("d")).cast("float").alias("radius"), *lows, *highs)
-    box = lambda n, empty: F.array(*(F.coalesce(F.col(f"{n}{i}"), F.lit(empty)) for i in range(dims)))
-    return clusters.select("cluster_id").join(F.broadcast(got), "cluster_id", "left").select("cluster_id", F.coalesce("cnt", F.lit(0)).alias("cnt"), box("lo", 32767).alias("bmin"), box("hi", -32768).alias("bmax"), F.coalesce("radius", F.lit(0.0).cast("float")).alias("radius"))
+    """(cluster_id, cnt, bmin, bmax, radius): empty clusters have an inside-out box and radius 0. Each task makes
+    a box of its rows of a cluster before any is shuffled."""
+    ints = F.col("v").cast("array<int>")
+    parts = assigned.select("cluster_id", F.lit(1).cast("long").alias("cnt"), F.col("d").cast("long").alias("d"), ints.alias("lo"), ints.alias("hi")).mapInArrow(_boxes, BOXES)
+    got = parts.repartition("cluster_id").mapInArrow(_boxes, BOXES)
+    facts = clusters.select("cluster_id").join(got, "cluster_id", "left")
+    box = lambda c, empty: F.coalesce(F.col(c), F.array_repeat(F.lit(empty), dims))
+    return facts.select("cluster_id", F.coalesce("cnt", F.lit(0)).alias("cnt"), box("lo", 32767).alias("bmin"), box("hi", -32768).alias("bmax"), F.coalesce(F.sqrt("d"), F.lit(0.0)).cast("float").alias("radius"))
 
 
 def size_statistics(centroids: DataFrame) -> DataFrame:
@@ -122,41 +162,72 @@ def size_statistics(centroids: DataFrame) -> DataFrame:
 
 
 def build(refs: DataFrame, centroids: DataFrame, dims: int) -> Index:
-    """An index of refs (ref_id, label, v) on quantised centroids (cluster_id, c)."""
-    assigned = assign(refs, centroids, dims)
-    facts = statistics(assigned, centroids, dims)
-    return Index(member_order(assigned), centroids.join(F.broadcast(facts), "cluster_id"), dims)
+    """An index of refs (ref_id, label, v) of whole vectors on quantised centroids (cluster_id, c)."""
+    assigned = written(assign(refs, centroids, dims), "assigned")
+    return Index(member_order(assigned), _with_statistics(assigned, centroids, dims), dims)
 
 
-def save(index: Index, path: str) -> None:
-    """refs are partitioned by cluster, so a probe reads its clusters alone; a meta row names the format."""
-    index.refs.repartition("cluster_id", F.floor(F.col("pos") / 1_000_000)).sortWithinPartitions("cluster_id", "pos").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
-    index.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    index.centroids.agg(F.lit("clustered").alias("format"), F.sum("cnt").alias("num_vectors"), F.lit(index.dims).alias("dim_count"), F.count("*").alias("num_clusters")).write.mode("overwrite").parquet(f"{path}/meta")
+def _with_statistics(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
+    return centroids.select("cluster_id", "c").join(statistics(assigned, centroids, dims), "cluster_id")
 
 
-def load(spark: SparkSession, path: str, dims: int = S.DIMS) -> Index:
-    """An index that `save` wrote; an error if its format or dimensions are others, or it does not hold together."""
+def flat(refs: DataFrame, dims: int) -> Index:
+    """An index without clusters, of refs (ref_id, label, v) of whole vectors."""
+    return Index(refs.where(is_whole(F.col("v"), dims)).select("ref_id", "label", "v"), None, dims, FLAT)
+
+
+def save(index: Index, path: str) -> None:
+    """refs are partitioned by cluster, so a probe reads its clusters alone; a meta row names the format."""
+    if index.format == FLAT:
+        index.refs.write.mode("overwrite").parquet(f"{path}/refs")
+        facts = index.refs.agg(F.count("*").alias("num_vectors"), F.lit(0).cast("long").alias("num_clusters"))
+    else:
+        kept = ("cluster_id", "c", "cnt") if index.format == PLAIN else index.centroids.columns
+        index.refs.repartition("cluster_id", F.floor(F.col("pos") / 1_000_000)).sortWithinPartitions("cluster_id", "pos").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
+        index.centroids.select(*kept).write.mode("overwrite").parquet(f"{path}/centroids")
+        facts = index.refs.sparkSession.read.parquet(f"{path}/centroids").agg(F.sum("cnt").alias("num_vectors"), F.count("*").alias("num_clusters"))
+    facts.select(F.lit(index.format).alias("format"), "num_vectors", F.lit(index.dims).alias("dim_count"), "num_clusters").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str, dims: int = S.DIMS, check: bool = True) -> Index:
+    """An index that `save` wrote, by its format: a flat one has vectors alone, a plain one gets its boxes here. An
+    error if its format or dimensions are others, it has too many clusters, or (check) it does not hold together."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    if meta.format != "clustered" or meta.dim_count != dims:
+    if meta.format not in (FLAT, PLAIN, CLUSTERED) or meta.dim_count != dims:
         raise ValueError(f"unknown index: {meta.format}, {meta.dim_count} dimensions")
-    index = Index(spark.read.parquet(f"{path}/refs").withColumn("cluster_id", F.col("cluster_id").cast("long")), spark.read.parquet(f"{path}/centroids"), dims)
-    bad = validate(index).where("problems > 0").collect()
+    if meta.num_clusters > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    refs = spark.read.parquet(f"{path}/refs")
+    if meta.format == FLAT:
+        index = Index(refs, None, dims, FLAT)
+    else:
+        refs, centroids = refs.withColumn("cluster_id", F.col("cluster_id").cast("long")), spark.read.parquet(f"{path}/centroids")
+        index = Index(refs, centroids, dims, meta.format)
+    bad = validate(index, meta.num_vectors).where("problems > 0").collect() if check else []
     if bad:
         raise ValueError(f"broken index: {[(r.check_name, r.problems) for r in bad]}")
-    return index
+    return replace(index, centroids=_with_statistics(refs, centroids, dims), format=CLUSTERED) if meta.format == PLAIN else index
+
 
+def warm(index: Index) -> int:
+    """Holds the vectors on the executors from now on; returns their number."""
+    return index.refs.persist().count()
 
-def validate(index: Index) -> DataFrame:
-    """(check_name, problems): labels outside 0 and 1, members of unknown clusters, counts that differ."""
+
+def validate(index: Index, vectors: int | None = None) -> DataFrame:
+    """(check_name, problems): labels outside 0 and 1, vectors of other dimensions; members of unknown clusters and
+    counts that differ, of clusters or, in a flat index, of all (`vectors`, if given)."""
     refs, known = index.refs, index.centroids
-    counted = refs.groupBy("cluster_id").agg(F.count("*").alias("n"))
     checks = {
         "labels": refs.agg(F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("problems")),
-        "clusters": refs.join(F.broadcast(known.select("cluster_id")), "cluster_id", "left_anti").agg(F.count("*").alias("problems")),
-        "counts": known.select("cluster_id", "cnt").join(counted, "cluster_id", "full").agg(F.count_if(F.coalesce("cnt", F.lit(0)) != F.coalesce("n", F.lit(0))).alias("problems")),
-        "dimensions": refs.agg(F.count_if(F.size("v") != index.dims).alias("problems")),
+        "dimensions": refs.agg(F.count_if(~is_whole(F.col("v"), index.dims)).alias("problems")),
     }
+    if known is None:
+        checks["counts"] = refs.agg(F.when(F.lit(vectors is None) | (F.count("*") == F.lit(vectors or 0)), 0).otherwise(1).alias("problems"))
+    else:
+        counted = refs.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        checks["clusters"] = counted.join(known.select("cluster_id"), "cluster_id", "left_anti").agg(F.sum("n").alias("problems"))
+        checks["counts"] = known.select("cluster_id", "cnt").join(counted, "cluster_id", "full").agg(F.count_if(F.coalesce("cnt", F.lit(0)) != F.coalesce("n", F.lit(0))).alias("problems"))
     out = None
     for name, df in checks.items():
         part = df.select(F.lit(name).alias("check_name"), F.coalesce("problems", F.lit(0)).cast("long").alias("problems"))
@@ -166,8 +237,3 @@ def validate(index: Index) -> DataFrame:
 
 def cluster_vectors(index: Index, cluster_id: int) -> DataFrame:
     return index.refs.where(F.col("cluster_id") == cluster_id)
-
-
-def distance_to_centroid(index: Index) -> DataFrame:
-    joined = index.refs.join(F.broadcast(index.centroids.select("cluster_id", "c")), "cluster_id")
-    return joined.withColumn("d", squared_l2(F.col("v"), F.col("c"), index.dims))

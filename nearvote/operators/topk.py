@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearvote.functions.vectors import is_whole
 from nearvote.schema import NO_DISTANCE, TOP
 
 #: Queries of one block; the blocks, not the whole set, go to the executors.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
+#: Distances that a task holds at once.
+DISTANCES = 1 << 22
 
 
 def top_k(candidates: DataFrame, *order: str | Column, k: int = TOP, by: str = "q_id") -> DataFrame:
@@ -27,6 +30,11 @@ def votes(nearest: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     return queries.select("q_id").join(found, "q_id", "left").select("q_id", F.coalesce("frauds", F.lit(0)).alias("frauds"), F.coalesce("worst", F.lit(NO_DISTANCE)).alias("worst"))
 
 
+def sorted_neighbours(nearest: DataFrame) -> DataFrame:
+    """(q_id, neighbours): by query an array of (rank, dist, ref_id, label), sorted; k at the most."""
+    return nearest.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "ref_id", "label"))).alias("neighbours"))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
@@ -38,9 +46,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, dims: int, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of blocks of queries (q_id, v), streamed from the cluster."""
+    """(ids, vectors) of blocks of queries (q_id, v), streamed from the cluster; without those of null or ragged vectors."""
     ids, vectors = [], []
-    for row in queries.select("q_id", "v").toLocalIterator():
+    for row in queries.select("q_id", "v").where(is_whole(F.col("v"), dims)).toLocalIterator():
         ids.append(row.q_id)
         vectors.append(row.v)
         if len(ids) == size:
@@ -50,38 +58,53 @@ def query_blocks(queries: DataFrame, dims: int, size: int = QUERY_BLOCK) -> Iter
         yield np.array(ids), np.array(vectors, np.float64).reshape(-1, dims)
 
 
-def exact_top_k(refs: DataFrame, queries: DataFrame, dims: int, k: int = TOP) -> DataFrame:
-    """(q_id, rank, ref_id, dist, label): exhaustive search of queries (q_id, v) in refs (ref_id, v, label), ties
-    by ref_id. Each task keeps its k nearest for each query of the block, so the shuffle has k rows for each
-    query and task, whatever the number of pairs."""
+def _near(refs: DataFrame, queries: DataFrame, dims: int, k: int | None) -> DataFrame:
+    """(q_id, ref_id, dist, label) of the k nearest of each query in each task, or, without k, of all pairs. Pairs
+    are made DISTANCES at a time; null and ragged vectors, of queries and refs, take no part."""
     parts = None
     for ids, vectors in query_blocks(queries, dims):
 
         def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
             best: pa.Table | None = None
+            step = max(1, DISTANCES // len(ids))
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    b = batch.slice(at, 4096)
-                    ref, label = b.column("ref_id").to_numpy(), b.column("label").to_numpy()
+                for at in range(0, batch.num_rows, step):
+                    b = batch.slice(at, step)
+                    ref, label = b.column("ref_id").to_numpy(), b.column("label").to_numpy(zero_copy_only=False)
                     d = distances(vectors, _matrix(b.column("v"), dims)).astype(np.int64)
-                    near = min(k, d.shape[1])
-                    limit = np.partition(d, near - 1, axis=1)[:, near - 1]
-                    q, r = np.nonzero(d <= limit[:, None])
-                    rows = pa.table({"q": q, "dist": d[q, r], "ref_id": ref[r], "label": label[r]})
-                    best = _first(rows if best is None else pa.concat_tables([best, rows]), k)
+                    if k is None:
+                        q, r = np.divmod(np.arange(d.size), d.shape[1])
+                    else:
+                        near = min(k, d.shape[1])
+                        q, r = np.nonzero(d <= np.partition(d, near - 1, axis=1)[:, near - 1, None])
+                    rows = pa.table({"q_id": ids[q], "ref_id": ref[r], "dist": d[q, r], "label": label[r]})
+                    if k is None:
+                        yield from rows.set_column(3, "label", rows.column("label").cast(pa.int32())).to_batches()
+                    else:
+                        best = _first(rows if best is None else pa.concat_tables([best, rows]), k)
             if best is not None and best.num_rows:
-                q = best.column("q").to_numpy()
-                yield from pa.table({"q_id": ids[q], "ref_id": best.column("ref_id"), "dist": best.column("dist"), "label": best.column("label").cast(pa.int32())}).to_batches()
+                yield from best.set_column(3, "label", best.column("label").cast(pa.int32())).combine_chunks().to_batches()
 
-        found = refs.select("ref_id", "v", "label").mapInArrow(scan, "q_id long, ref_id long, dist long, label int")
+        found = refs.where(is_whole(F.col("v"), dims)).select("ref_id", "v", "label").mapInArrow(scan, "q_id long, ref_id long, dist long, label int")
         parts = found if parts is None else parts.unionAll(found)
-    if parts is None:
-        parts = refs.sparkSession.createDataFrame([], "q_id long, ref_id long, dist long, label int")
-    return top_k(parts, "dist", "ref_id", k=k)
+    return refs.sparkSession.createDataFrame([], "q_id long, ref_id long, dist long, label int") if parts is None else parts
+
+
+def exact_top_k(refs: DataFrame, queries: DataFrame, dims: int, k: int = TOP) -> DataFrame:
+    """(q_id, rank, ref_id, dist, label): exhaustive search of queries (q_id, v) in refs (ref_id, v, label), ties
+    by ref_id. Each task keeps its k nearest for each query of the block, so the shuffle has k rows for each
+    query and task, whatever the number of pairs. Rows whose vector is null, has null numbers or not `dims` of them
+    are found by no query, and such queries find nothing."""
+    return top_k(_near(refs, queries, dims, k), "dist", "ref_id", k=k)
+
+
+def all_distances(refs: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
+    """(q_id, ref_id, dist, label) of all pairs of whole vectors, made block by block."""
+    return _near(refs, queries, dims, None)
 
 
 def _first(rows: pa.Table, k: int) -> pa.Table:
-    q, d, ref = (rows.column(c).to_numpy() for c in ("q", "dist", "ref_id"))
+    q, d, ref = (rows.column(c).to_numpy() for c in ("q_id", "dist", "ref_id"))
     order = np.lexsort((ref, d, q))
     q = q[order]
     start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))

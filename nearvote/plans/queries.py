@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearvote import schema as S
 from nearvote.functions.features import feature_columns, vectorize_int16
-from nearvote.functions.vectors import box_bound, quantize, squared_l2
+from nearvote.functions.vectors import bool_to_int8, dim_differences, squared_l2
 from nearvote.operators import evaluate, index as ix
 from nearvote.operators.decision import respond
-from nearvote.operators.topk import exact_top_k, top_k, votes
+from nearvote.operators.topk import all_distances, exact_top_k, sorted_neighbours, top_k, votes
 from nearvote.plans import search
+from nearvote.session import new_path, written
 from nearvote.sources import inputs
 from nearvote.streaming import scoring
 
@@ -28,11 +28,6 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 
 
-def shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a local one where the cluster names none, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/nearvote-{uuid.uuid4().hex}"
-
-
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
@@ -60,8 +55,22 @@ def _centroids(refs: DataFrame) -> DataFrame:
     return means.select("cluster_id", F.transform("c", lambda x: F.round(x).cast("smallint")).alias("c"))
 
 
-def _index(refs: DataFrame) -> ix.Index:
-    return ix.build(refs.select("ref_id", "label", "v"), _centroids(refs), D)
+#: By application and tables, the path of the index that was saved.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> ix.Index:
+    """The index of the vectors: built and saved once, then loaded."""
+    key = spark.sparkContext.applicationId, sf
+    if key in _SAVED:
+        try:
+            return ix.load(spark, _SAVED[key], D, check=False)
+        except AnalysisException:  # its folder is gone
+            del _SAVED[key]
+    refs, path = _refs(spark, sf)[0], new_path(spark, "index")
+    ix.save(ix.build(refs.select("ref_id", "label", "v"), _centroids(refs), D), path)
+    _SAVED[key] = path
+    return ix.load(spark, path, D, check=False)
 
 
 # SQL parts.
@@ -105,14 +114,13 @@ _DIST = "WITH {0} SELECT q_id, ref_id, dist FROM pairs"
 @query(_DIST.format(PAIRS))
 def l2_distance_int16(spark, sf):
     refs, queries = _refs(spark, sf)
-    near = exact_top_k(refs, queries, D, k=1 << 30)
-    return near.select("q_id", "ref_id", "dist")
+    return all_distances(refs, queries, D).select("q_id", "ref_id", "dist")
 
 
 @query(f"WITH {CLUSTERS} SELECT ref_id, round(list_sum(list_transform(list_zip(r.x, c.c), lambda p: (p[1] - p[2] / 32767.0::DOUBLE) * (p[1] - p[2] / 32767.0::DOUBLE))), 6) AS dist FROM memb JOIN refs r USING (ref_id) JOIN cent c USING (cluster_id)")
 def l2_distance_float(spark, sf):
     refs, _ = _refs(spark, sf)
-    i = _index(refs)
+    i = _index(spark, sf)
     scaled = i.centroids.select("cluster_id", F.transform("c", lambda x: x / F.lit(32767.0)).alias("cx"))
     return i.refs.select("ref_id", "cluster_id").join(refs.select("ref_id", "x"), "ref_id").join(F.broadcast(scaled), "cluster_id").select("ref_id", F.round(squared_l2(F.col("x"), F.col("cx"), D, "double"), 6).alias("dist"))
 
@@ -130,6 +138,22 @@ def topk_last_wins(spark, sf):
     return blocks.select("q_id", (-F.col("ref_id")).alias("ref_id"), "dist", "rank")
 
 
+@query(f"WITH {NEAR} SELECT q_id, string_agg(ref_id || ':' || dist || ':' || label, ',' ORDER BY rank) AS neighbours FROM near GROUP BY q_id")
+def topk_sorted(spark, sf):
+    refs, queries = _refs(spark, sf)
+    near = sorted_neighbours(exact_top_k(refs, queries, D))
+    return near.select("q_id", F.array_join(F.transform("neighbours", lambda n: F.concat_ws(":", n["ref_id"], n["dist"], n["label"])), ",").alias("neighbours"))
+
+
+@query(f"WITH {REFS} SELECT q_id, (ref_id // 8)::BIGINT AS block, string_agg((q.v[6] - r.v[6])::VARCHAR, ',' ORDER BY ref_id) AS differences FROM q CROSS JOIN refs r WHERE r.ref_id // 8 = q_id // 8 GROUP BY 1, 2")
+def block_difference(spark, sf):
+    """In one dimension, how far the eight vectors of a query's block are from it."""
+    refs, queries = _refs(spark, sf)
+    blocks = refs.groupBy(F.floor(F.col("ref_id") / 8).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "v"))), lambda x: x["v"]).alias("vs"))
+    rows = queries.withColumn("block", F.floor(F.col("q_id") / 8)).join(blocks, "block")
+    return rows.select("q_id", "block", F.array_join(dim_differences(F.col("v"), F.col("vs"), 5), ",").alias("differences"))
+
+
 @query(f"WITH {VOTES} SELECT q_id, frauds, worst FROM counts")
 def fraud_vote(spark, sf):
     refs, queries = _refs(spark, sf)
@@ -170,28 +194,28 @@ def centroid_quantize(spark, sf):
 
 @query(f"WITH {BOXES} SELECT cluster_id, i - 1 AS dim, lo, hi FROM boxes")
 def cluster_bbox(spark, sf):
-    c = _index(_refs(spark, sf)[0]).centroids
+    c = _index(spark, sf).centroids
     return c.select("cluster_id", F.posexplode(F.arrays_zip("bmin", "bmax")).alias("dim", "b")).select("cluster_id", "dim", F.col("b.bmin").alias("lo"), F.col("b.bmax").alias("hi"))
 
 
 @query(f"WITH {STATS} SELECT cluster_id, cnt FROM stats")
 def cluster_sizes(spark, sf):
-    return _index(_refs(spark, sf)[0]).centroids.select("cluster_id", "cnt")
+    return _index(spark, sf).centroids.select("cluster_id", "cnt")
 
 
 @query(f"WITH {STATS} SELECT min(cnt) AS smallest, max(cnt) AS largest, avg(cnt) AS mean FROM stats")
 def cluster_size_stats(spark, sf):
-    return ix.size_statistics(_index(_refs(spark, sf)[0]).centroids)
+    return ix.size_statistics(_index(spark, sf).centroids)
 
 
 @query(f"WITH {STATS} SELECT cluster_id, radius FROM stats")
 def cluster_radius(spark, sf):
-    return _index(_refs(spark, sf)[0]).centroids.select("cluster_id", "radius")
+    return _index(spark, sf).centroids.select("cluster_id", "radius")
 
 
 @query(f"WITH {CLUSTERS} SELECT cluster_id, ref_id, pos FROM memb")
 def cluster_member_order(spark, sf):
-    return _index(_refs(spark, sf)[0]).refs.select("cluster_id", "ref_id", "pos")
+    return _index(spark, sf).refs.select("cluster_id", "ref_id", "pos")
 
 
 def _ranks(spark, sf, low, high):
@@ -221,7 +245,13 @@ _BOUND = f"{BOXES}, ranks AS (SELECT q_id, q.v, cluster_id FROM q CROSS JOIN cen
 @query(f"WITH {_BOUND} SELECT q_id, cluster_id, bound FROM bounds")
 def bbox_lower_bound(spark, sf):
     refs, queries = _refs(spark, sf)
-    return search.box_bounds(_index(refs), queries, K).select("q_id", "cluster_id", "bound")
+    return search.box_bounds(_index(spark, sf), queries, K).select("q_id", "cluster_id", "bound")
+
+
+@query(f"WITH {_BOUND.replace('** 2)::BIGINT', '/ 32767.0::DOUBLE) ** 2)').replace('sum(greatest', 'sum((greatest')} SELECT q_id, cluster_id, round(bound, 6) AS bound FROM bounds")
+def bbox_lower_bound_float(spark, sf):
+    queries = _refs(spark, sf)[1]
+    return search.box_bounds(_index(spark, sf), queries, K, "double").select("q_id", "cluster_id", F.round("bound", 6).alias("bound"))
 
 
 @query(f"WITH {_BOUND}, pairs AS (SELECT q_id, ref_id, label, {d2('q.v', 'r.v')} AS dist FROM q CROSS JOIN refs r), near AS (SELECT q_id, dist FROM pairs QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY dist, ref_id) = 5) SELECT q_id, count(*) AS clusters, count(*) FILTER (bound < dist) AS kept FROM bounds JOIN near USING (q_id) GROUP BY q_id")
@@ -229,18 +259,18 @@ def bbox_prune(spark, sf):
     """How many clusters a bound by the fifth distance keeps."""
     refs, queries = _refs(spark, sf)
     worst = votes(exact_top_k(refs, queries, D), queries)
-    return search.box_bounds(_index(refs), queries, K).join(worst, "q_id").groupBy("q_id").agg(F.count("*").alias("clusters"), F.count_if(F.col("bound") < F.col("worst")).alias("kept"))
+    return search.box_bounds(_index(spark, sf), queries, K).join(worst, "q_id").groupBy("q_id").agg(F.count("*").alias("clusters"), F.count_if(F.col("bound") < F.col("worst")).alias("kept"))
 
 
 @query(f"WITH {CLUSTERS} SELECT ref_id, label, pos FROM memb WHERE cluster_id = 3")
 def cluster_lookup(spark, sf):
-    return ix.cluster_vectors(_index(_refs(spark, sf)[0]), 3).select("ref_id", "label", "pos")
+    return ix.cluster_vectors(_index(spark, sf), 3).select("ref_id", "label", "pos")
 
 
 @query(f"WITH {IVF} SELECT q_id, fast_frauds AS frauds, worst FROM told")
 def search_fast_only(spark, sf):
     refs, queries = _refs(spark, sf)
-    return search.fast(_index(refs), queries)[1]
+    return search.fast(_index(spark, sf), queries)[1]
 
 
 @query(f"WITH {VOTES} SELECT q_id, frauds, worst FROM counts")
@@ -252,19 +282,44 @@ def search_full(spark, sf):
 @query(f"WITH {IVF} SELECT q_id, frauds, fast_frauds, worst, escalated FROM ivf")
 def search_ivf(spark, sf):
     refs, queries = _refs(spark, sf)
-    return search.ivf(_index(refs), queries, thresholds=T)
+    return search.ivf(_index(spark, sf), queries, thresholds=T)
+
+
+@query(f"WITH {IVF} SELECT q_id, frauds FROM ivf")
+def search_dispatch_clustered(spark, sf):
+    """A saved index with clusters but no boxes, loaded and searched by its format."""
+    i, path = _index(spark, sf), new_path(spark, "plain")
+    ix.save(ix.replace(i, format=ix.PLAIN), path)
+    return search.dispatch(ix.load(spark, path, D), _refs(spark, sf)[1], T)
+
+
+@query(f"WITH {VOTES} SELECT q_id, frauds FROM counts")
+def search_dispatch_flat(spark, sf):
+    """A saved flat index, loaded and searched by its format."""
+    refs, queries = _refs(spark, sf)
+    path = new_path(spark, "flat")
+    ix.save(ix.flat(refs, D), path)
+    return search.dispatch(ix.load(spark, path, D), queries, T)
+
+
+@query("SELECT count(*) AS vectors FROM embeddings")
+def index_warmup(spark, sf):
+    i = _index(spark, sf)
+    n = ix.warm(i)
+    i.refs.unpersist()
+    return spark.range(1).select(F.lit(n).cast("long").alias("vectors"))
 
 
 @query(f"WITH {_ivf_sql(2, 8, T)} SELECT q_id, frauds FROM ivf")
 def search_topn(spark, sf):
     refs, queries = _refs(spark, sf)
-    return search.ivf(_index(refs), queries, extra=8, thresholds=T).select("q_id", "frauds")
+    return search.ivf(_index(spark, sf), queries, extra=8, thresholds=T).select("q_id", "frauds")
 
 
 @query(f"WITH {_ivf_sql(4, 8, {}, (2, 3))} SELECT q_id, frauds FROM ivf")
 def search_legacy(spark, sf):
     refs, queries = _refs(spark, sf)
-    return search.legacy(_index(refs), queries, 4, 8)
+    return search.legacy(_index(spark, sf), queries, 4, 8)
 
 
 # Events.
@@ -328,15 +383,29 @@ def score_fail_open(spark, sf):
     return scoring.score(_bodies(spark, sf), ix.Index(_event_refs(spark, sf), None, S.DIMS), exact=True).drop("body")
 
 
+@query("SELECT label % 2 AS label, count(*) AS n, sum(" + _Q.replace("x", "embedding[1]") + ")::BIGINT AS total FROM embeddings GROUP BY 1")
+def reference_scan(spark, sf):
+    """The vectors written as compressed JSON and read back: rows and the sum of the first number by label."""
+    refs, path = _refs(spark, sf)[0], new_path(spark, "references")
+    refs.select(F.col("x").alias("vector"), F.when(F.col("label") == 1, F.lit("fraud")).otherwise(F.lit("legit")).alias("label")).write.json(path, compression="gzip")
+    rows = inputs.read_references(spark, path, lines=True)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("v")[0].cast("long")).alias("total"))
+
+
+@query("SELECT event_id, (event_id % 2 = 0)::INTEGER AS online, (event_id % 3 = 0)::INTEGER AS present FROM events")
+def bool_flags(spark, sf):
+    rows = inputs.event_payloads(spark, sf)
+    return rows.select("event_id", bool_to_int8(F.col("terminal.is_online")).cast("int").alias("online"), bool_to_int8(F.col("terminal.card_present")).cast("int").alias("present"))
+
+
 @query(f"WITH {EVENTS} SELECT q_id, label = 0 AS expected_approved FROM q")
 def eval_explode(spark, sf):
     """An evaluation document of all events, written as one JSON file a part, and read back; of its entries the query set."""
     rows = inputs.event_payloads(spark, sf)
-    path = shared(spark)
+    path = new_path(spark, "files")
     entry = F.struct(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction").alias("request"), (F.col("event_type") != "error").alias("expected_approved"))
     rows.select(F.array(entry).alias("entries")).write.json(path, compression="gzip", ignoreNullFields=False)
-    kind = f"entries array<struct<request:struct<{S.PAYLOAD}>,expected_approved:boolean>>"
-    return spark.read.schema(kind).json(path).select(F.explode("entries").alias("e")).select(F.col("e.request.id").cast("long").alias("q_id"), "e.expected_approved").where("q_id % 100 = 0")
+    return inputs.read_evaluation(spark, path, lines=True).select(F.col("request.id").cast("long").alias("q_id"), "expected_approved").where("q_id % 100 = 0")
 
 
 # Calibration: fast against full search of the vectors; a query's own label is the expected answer.
@@ -347,7 +416,7 @@ THR = f"{RECORDS}, classes AS (SELECT unnest(range(6))::INTEGER AS fast_count),
 
 def _records(spark, sf) -> DataFrame:
     refs, queries = _refs(spark, sf)
-    fast = search.fast(_index(refs), queries)[1].select("q_id", F.col("frauds").alias("fast_count"), F.col("worst").alias("fast_worst"))
+    fast = search.fast(_index(spark, sf), queries)[1].select("q_id", F.col("frauds").alias("fast_count"), F.col("worst").alias("fast_worst"))
     full = votes(exact_top_k(refs, queries, D), queries).select("q_id", F.col("frauds").alias("full_count"))
     return fast.join(full, "q_id").join(queries.select("q_id", (F.col("label") == 0).alias("expected_approved")), "q_id")
 
@@ -374,6 +443,20 @@ def calibrate_confusion(spark, sf):
     return evaluate.confusion(records, evaluate.thresholds(records))
 
 
+def _report_sql() -> str:
+    parts = [f"SELECT 'breakdown' AS section, fast_count, '{c}' AS measure, {c}::BIGINT AS value FROM ({SQL['calibrate_breakdown']})" for c in ("n", "fast_wrong", "full_wrong", "fixable")]
+    parts.append(f"SELECT 'thresholds', fast_count, 'threshold', threshold::BIGINT FROM ({SQL['calibrate_thresholds']})")
+    parts += [f"SELECT '{s}', -1, '{c}', {c}::BIGINT FROM ({SQL['calibrate_' + s]})" for s, cols in (("escalations", ("n", "escalations")), ("confusion", ("false_positives", "false_negatives"))) for c in cols]
+    return " UNION ALL ".join(parts)
+
+
+@query(_report_sql())
+def calibrate_report(spark, sf):
+    path = new_path(spark, "report")
+    evaluate.report(written(_records(spark, sf), "records")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(f"WITH {EVENTS} SELECT count(*) AS n, count(*) FILTER ((q_id // 100) % 5 IN (1, 2, 3)) AS parse_fails FROM q")
 def calibrate_parse_fails(spark, sf):
     return score_fail_open(spark, sf).agg(F.count("*").alias("n"), F.count_if(~F.col("parse_ok")).alias("parse_fails"))
@@ -382,13 +465,13 @@ def calibrate_parse_fails(spark, sf):
 @query(f"WITH {IVF}, truth AS (SELECT q_id, ref_id FROM (SELECT q_id, ref_id, row_number() OVER (PARTITION BY q_id ORDER BY {d2('q.v', 'r.v')}, ref_id) AS rank FROM q CROSS JOIN refs r QUALIFY rank <= 5)) SELECT count(t1.ref_id) AS hits, count(*) AS possible, count(t1.ref_id) / count(*)::DOUBLE AS recall FROM truth LEFT JOIN t1 ON t1.q_id = truth.q_id AND t1.ref_id = truth.ref_id")
 def recall_at_5(spark, sf):
     refs, queries = _refs(spark, sf)
-    return evaluate.recall(search.fast(_index(refs), queries)[0], exact_top_k(refs, queries, D))
+    return evaluate.recall(search.fast(_index(spark, sf), queries)[0], exact_top_k(refs, queries, D))
 
 
 @query(f"WITH {RECORDS} SELECT count(*) AS n, count(*) FILTER ((frauds <= 2) = (full_count <= 2)) AS agreed, count(*) FILTER ((frauds <= 2) = (full_count <= 2)) / count(*)::DOUBLE AS share FROM ivf JOIN fullc USING (q_id)")
 def decision_agreement(spark, sf):
     refs, queries = _refs(spark, sf)
-    return evaluate.agreement(search.ivf(_index(refs), queries, thresholds=T), votes(exact_top_k(refs, queries, D), queries))
+    return evaluate.agreement(search.ivf(_index(spark, sf), queries, thresholds=T), votes(exact_top_k(refs, queries, D), queries))
 
 
 _PLACES = "list_transform(x, lambda y: round(y * 1000000)::BIGINT)"
@@ -404,7 +487,7 @@ def quantization_divergence(spark, sf):
 
 @query("SELECT * FROM (VALUES ('labels', 0::BIGINT), ('clusters', 0), ('counts', 0), ('dimensions', 0)) t(check_name, problems)")
 def index_validate(spark, sf):
-    return ix.validate(_index(_refs(spark, sf)[0]))
+    return ix.validate(_index(spark, sf))
 
 
 @query("SELECT vec_id AS ref_id, label % 2 AS label FROM embeddings")
@@ -415,8 +498,8 @@ def label_decode(spark, sf):
 
 @query(f"WITH {CLUSTERS} SELECT cluster_id, ref_id, label, pos, list_sum(v)::BIGINT AS total FROM memb")
 def index_roundtrip(spark, sf):
-    path = shared(spark)
-    ix.save(_index(_refs(spark, sf)[0]), path)
+    path = new_path(spark, "files")
+    ix.save(_index(spark, sf), path)
     return ix.load(spark, path, D).refs.select("cluster_id", "ref_id", "label", "pos", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -436,7 +519,7 @@ def kmeans_train(spark, sf):
 @query(f"WITH {EVENT_NEAR} SELECT q_id, (q_id // 100) % 5 NOT IN (1, 2, 3) AS parse_ok, (q_id // 100) % 5 IN (1, 2, 3) OR frauds <= 2 AS approved, CASE WHEN (q_id // 100) % 5 IN (1, 2, 3) THEN 0.0 ELSE frauds / 5.0 END::DOUBLE AS fraud_score FROM counts")
 def stream_score(spark, sf):
     """The requests as a stream of files, scored by micro-batches."""
-    path = shared(spark)
+    path = new_path(spark, "files")
     _bodies(spark, sf).write.json(f"{path}/in")
     run = scoring.start(spark, f"{path}/in", f"{path}/out", f"{path}/progress", ix.Index(_event_refs(spark, sf), None, S.DIMS), exact=True)
     run.awaitTermination()

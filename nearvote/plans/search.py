@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from nearvote import schema as S
 from nearvote.functions.vectors import box_bound, squared_l2
-from nearvote.operators.index import Index, nearest_centroids
+from nearvote.operators.index import FLAT, Index, nearest_centroids
 from nearvote.operators.topk import exact_top_k, top_k, votes
+from nearvote.session import written
 
 
 def ranked_probes(index: Index, queries: DataFrame, n: int) -> DataFrame:
@@ -43,8 +44,11 @@ def escalates(frauds, worst, thresholds: dict[int, int] = S.THRESHOLDS, ambiguou
 def ivf(index: Index, queries: DataFrame, fast_probes: int = S.FAST_PROBES, extra: int = S.EXTRA_PROBES, thresholds: dict[int, int] = S.THRESHOLDS, ambiguous=S.AMBIGUOUS) -> DataFrame:
     """(q_id, frauds, fast_frauds, worst, escalated). Extra clusters are read for escalated queries alone."""
     ranked = ranked_probes(index, queries, fast_probes + extra)
-    first = top_k(scan(index, ranked.where(F.col("probe_rank") <= fast_probes)), *ORDER)
+    # Each is used more than once.
+    ranked = written(ranked, "probes")
+    first = written(top_k(scan(index, ranked.where(F.col("probe_rank") <= fast_probes)), *ORDER), "first")
     told = votes(first, queries).select("q_id", F.col("frauds").alias("fast_frauds"), "worst", escalates(F.col("frauds"), F.col("worst"), thresholds, ambiguous).alias("escalated"))
+    told = written(told, "told")
     unsure = told.where("escalated").select("q_id")
     more = scan(index, ranked.where(F.col("probe_rank") > fast_probes).join(unsure, "q_id", "left_semi"))
     merged = top_k(first.drop("rank").unionByName(more), *ORDER)
@@ -56,6 +60,11 @@ def full(index: Index, queries: DataFrame) -> DataFrame:
     return votes(exact_top_k(index.refs, queries, index.dims), queries)
 
 
+def dispatch(index: Index, queries: DataFrame, thresholds: dict[int, int] = S.THRESHOLDS) -> DataFrame:
+    """(q_id, frauds) by the index's format: exhaustive for a flat one, by clusters for others."""
+    return (full(index, queries) if index.format == FLAT else ivf(index, queries, thresholds=thresholds)).select("q_id", "frauds")
+
+
 def legacy(index: Index, queries: DataFrame, nprobe: int, retry_extra: int) -> DataFrame:
     """Counts 2 and 3 alone escalate, and no distance does; nprobe <= 0 finds nothing."""
     if nprobe <= 0:
@@ -63,8 +72,10 @@ def legacy(index: Index, queries: DataFrame, nprobe: int, retry_extra: int) -> D
     return ivf(index, queries, nprobe, retry_extra, {}, (2, 3)).select("q_id", "frauds")
 
 
-def box_bounds(index: Index, queries: DataFrame, probes: int) -> DataFrame:
-    """(q_id, cluster_id, probe_rank, bound) of the probed clusters: the least distance to any member."""
+def box_bounds(index: Index, queries: DataFrame, probes: int, kind: str = "bigint") -> DataFrame:
+    """(q_id, cluster_id, probe_rank, bound) of the probed clusters: the least distance to any member. By kind as
+    whole numbers, or as float or double of the scale of features."""
     boxes = index.centroids.select("cluster_id", "bmin", "bmax", "cnt")
     ranked = ranked_probes(index, queries, probes).join(F.broadcast(boxes), "cluster_id").where("cnt > 0")
-    return ranked.select("q_id", "cluster_id", "probe_rank", box_bound(F.col("v"), F.col("bmin"), F.col("bmax"), index.dims).alias("bound"))
+    scaled = lambda c: F.col(c) if kind == "bigint" else F.transform(c, lambda x: x.cast("double") / S.SCALE)
+    return ranked.select("q_id", "cluster_id", "probe_rank", box_bound(scaled("v"), scaled("bmin"), scaled("bmax"), index.dims, kind).alias("bound"))

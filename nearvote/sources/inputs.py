@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearvote import schema as S
 from nearvote.functions.vectors import quantize
-from nearvote.session import importable
+from nearvote.session import importable, written
 
 #: Fixed values of the adapter: a merchant category for each kind of event.
 EVENT_MCC = {"click": "5411", "error": "7995", "purchase": "5812", "signup": "9999", "view": "7801"}
@@ -18,17 +18,19 @@ def label_code(label: Column) -> Column:
     return F.when(label == "fraud", 1).when(label == "legit", 0).otherwise(F.raise_error(F.concat(F.lit("unexpected label "), F.coalesce(label, F.lit("null"))))).cast("int")
 
 
-def read_references(spark: SparkSession, path: str, parts: int = 64) -> DataFrame:
-    """(ref_id, x, v, label) of JSON arrays of {vector, label}, plain or gzip. Such a file is one task's; so rows
-    are dealt out afterwards. ref_id is a hash of the row and its place."""
-    rows = spark.read.schema(S.REFERENCE).option("multiLine", True).json(path).withColumn("ref_id", F.monotonically_increasing_id())
+def read_references(spark: SparkSession, path: str, parts: int = 64, lines: bool = False) -> DataFrame:
+    """(ref_id, x, v, label) of JSON arrays of {vector, label}, or (lines) of one such object a line, plain or
+    gzip. A file is one task's; so rows are dealt out afterwards. ref_id grows with the files and the places in
+    them."""
+    rows = spark.read.schema(S.REFERENCE).option("multiLine", not lines).json(path).withColumn("ref_id", F.monotonically_increasing_id())
     return rows.repartition(parts).select("ref_id", F.col("vector").alias("x"), F.transform("vector", quantize).alias("v"), label_code(F.col("label")).alias("label"))
 
 
-def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """(q_id, request, expected_approved) of a JSON document {entries: [...]}."""
+def read_evaluation(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(q_id, request, expected_approved) of a JSON document {entries: [...]}, or (lines) of one such document a line;
+    q_id is the place in the document."""
     kind = f"entries array<struct<request:struct<{S.PAYLOAD}>,expected_approved:boolean>>"
-    rows = spark.read.schema(kind).option("multiLine", True).json(path)
+    rows = spark.read.schema(kind).option("multiLine", not lines).json(path)
     return rows.select(F.posexplode("entries").alias("q_id", "e")).select(F.col("q_id").cast("long").alias("q_id"), "e.request", "e.expected_approved")
 
 
@@ -50,8 +52,10 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     cents = F.round(F.col("value") * 100).cast("long")
-    users = events.groupBy("user_id").agg((F.sum(cents) / (F.count("*") * 100)).alias("avg_amount"))
-    days = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("tx"))
+    # Tables of their own: a join that reuses an aggregate's partitions can't split a hot customer's.
+    days = written(events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("tx"), F.sum(cents).alias("cents")), "days")
+    users = written(days.groupBy("user_id").agg((F.sum("cents") / (F.sum("tx") * 100)).alias("avg_amount")), "users")
+    days = days.drop("cents")
     merchants = events.groupBy(F.col("event_type").alias("event_type")).agg((F.sum(cents) / (F.count("*") * 100)).alias("merchant_avg"))
     rows = events.withColumn("day", F.to_date("ts")).join(users, "user_id").join(days, ["user_id", "day"]).join(F.broadcast(merchants), "event_type")
     e = F.col("event_id")

@@ -37,10 +37,10 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_evaluation_file_holds_all_events(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(engine, "shared", lambda spark: f"file://{tmp_path}/entries")
+    monkeypatch.setattr(engine, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
     got = engine.Q["eval_explode"](spark, DATA).count()
     events = spark.read.parquet(f"{DATA}/events.parquet")
-    ids = spark.read.json(f"file://{tmp_path}/entries").selectExpr("inline(entries)").selectExpr("cast(request.id as long) AS event_id")
+    ids = spark.read.json(f"file://{tmp_path}/files").selectExpr("inline(entries)").selectExpr("cast(request.id as long) AS event_id")
     assert sorted(r.event_id for r in ids.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
     assert got == events.where("event_id % 100 = 0").count()
 

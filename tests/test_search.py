@@ -2,13 +2,14 @@ import gzip
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearvote import schema as S
 from nearvote.operators import evaluate, index as ix
 from nearvote.operators.decision import respond
-from nearvote.operators.topk import exact_top_k, top_k, votes
+from nearvote.operators.topk import all_distances, exact_top_k, top_k, votes
 from nearvote.plans import search
 from nearvote.sources import inputs
 from nearvote.streaming import scoring
@@ -160,3 +161,108 @@ def test_stream_fails_open(spark, tmp_path):
     scoring.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/at", index, exact=True).awaitTermination()
     row = spark.read.parquet(f"file://{tmp_path}/out").first()
     assert (row.parse_ok, row.approved, row.fraud_score) == (False, True, 0.0)
+
+
+BAD = [(100, 1, None), (101, 0, []), (102, 1, [1, 2]), (103, 0, [1, None, 3, 4]), (104, 1, [0] * 5)]
+
+
+def test_null_and_ragged_vectors_take_no_part(spark):
+    good = [(2, 0, [9, 9, 9, 9]), (3, 1, [0, 0, 0, 0]), (4, 0, [5, 5, 5, 5])]
+    table = refs(spark, BAD[:2] + good[:1] + BAD[2:4] + good[1:] + BAD[4:])
+    asked = queries(spark, [(1, [0, 0, 0, 0]), (5, None), (6, [1, 2]), (7, [None, 0, 0, 0])])
+    near = exact_top_k(table, asked, DIMS)
+    assert [(r.q_id, r.ref_id, r.dist, r.label) for r in near.orderBy("rank").collect()] == [(1, 3, 0, 1), (1, 4, 100, 0), (1, 2, 324, 0)]
+    assert {(r.q_id, r.frauds, r.worst) for r in votes(near, asked).collect()} == {(1, 1, S.NO_DISTANCE), *((i, 0, S.NO_DISTANCE) for i in (5, 6, 7))}
+    assert {(r.ref_id, r.dist) for r in all_distances(table, asked, DIMS).collect()} == {(3, 0), (4, 100), (2, 324)}
+    centroids = cents(spark, [(0, [0] * 4), (1, [9] * 4)])
+    assert {(r.ref_id, r.cluster_id) for r in ix.assign(table, centroids, DIMS).collect()} == {(2, 1), (3, 0), (4, 1)}
+    index = ix.build(table, centroids, DIMS)
+    assert ix.validate(index).where("problems > 0").count() == 0 and index.refs.count() == 3
+    found = {r.q_id: (r.frauds, r.worst) for r in search.ivf(index, asked, 2, 0).collect()}
+    assert found == {1: (1, S.NO_DISTANCE), **{i: (0, S.NO_DISTANCE) for i in (5, 6, 7)}}
+    assert ix.flat(table, DIMS).refs.count() == 3
+
+
+def test_formats_of_an_index(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 1), [rng.randint(0, 9) for _ in range(DIMS)]) for i in range(200)]
+    table, asked = refs(spark, rows), queries(spark, [(1000 + i, v) for i, _, v in rows[:20]])
+    index = ix.build(table, cents(spark, [(i, v) for i, _, v in rows[:6]]), DIMS)
+    want = {r.q_id: r.frauds for r in votes(exact_top_k(table, asked, DIMS), asked).collect()}
+    for saved in (ix.flat(table, DIMS), index, ix.replace(index, format=ix.PLAIN)):
+        path = f"file://{tmp_path}/{saved.format}"
+        ix.save(saved, path)
+        read = ix.load(spark, path, DIMS)
+        assert read.format == (ix.FLAT if saved.format == ix.FLAT else ix.CLUSTERED) and ix.warm(read) == 200
+        read.refs.unpersist()
+        got = {r.q_id: r.frauds for r in search.dispatch(read, asked).collect()}
+        assert got == (want if read.format == ix.FLAT else {r.q_id: r.frauds for r in search.ivf(index, asked).collect()})
+        if read.centroids is not None:
+            assert sorted(map(str, read.centroids.select(*index.centroids.columns).collect())) == sorted(map(str, index.centroids.collect()))
+        with pytest.raises(ValueError, match="dimensions"):
+            ix.load(spark, path, DIMS + 1)
+    flat = f"file://{tmp_path}/flat"
+    spark.createDataFrame([(500, 1, [1] * DIMS)], "ref_id long, label int, v array<smallint>").write.mode("append").parquet(f"{flat}/refs")
+    with pytest.raises(ValueError, match="counts"):
+        ix.load(spark, flat, DIMS)
+    spark.createDataFrame([("BFV9", 1, DIMS, 0)], "format string, num_vectors long, dim_count int, num_clusters long").write.parquet(f"file://{tmp_path}/other/meta")
+    with pytest.raises(ValueError, match="unknown index"):
+        ix.load(spark, f"file://{tmp_path}/other", DIMS)
+
+
+def test_member_order_of_a_cluster_over_many_tasks(spark):
+    rng = random.Random(9)
+    rows = [(i, 0 if i % 3 else rng.randint(1, 4), rng.randint(0, 30)) for i in range(3000)]
+    got = {r.ref_id: (r.cluster_id, r.pos) for r in ix.member_order(spark.createDataFrame(rows, "ref_id long, cluster_id long, d long").repartition(7)).collect()}
+    place = {}
+    for i, c, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        place[c] = place.get(c, 0) + 1
+        assert got[i] == (c, place[c])
+
+
+def test_boxes_equal_brute_force(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.randint(0, 4), [rng.randint(-32768, 32767) for _ in range(DIMS)], rng.randint(0, 10**9)) for i in range(500)]
+    table = spark.createDataFrame(rows, "ref_id long, cluster_id long, v array<smallint>, d long").repartition(6)
+    got = {r.cluster_id: (r.cnt, r.bmin, r.bmax, r.radius) for r in ix.statistics(table, cents(spark, [(i, [0] * DIMS) for i in range(6)]), DIMS).collect()}
+    for c in range(5):
+        own = [r for r in rows if r[1] == c]
+        cols = list(zip(*(r[2] for r in own), strict=True))
+        n, lo, hi, radius = got[c]
+        assert (n, lo, hi) == (len(own), list(map(min, cols)), list(map(max, cols))) and radius == pytest.approx(max(r[3] for r in own) ** 0.5, rel=1e-6)
+    assert got[5] == (0, [32767] * DIMS, [-32768] * DIMS, 0.0)
+
+
+def test_training_is_as_good_as_sequential_seeding(spark):
+    """Inertia within a tenth of that of k-means++ (one seed after the other, by squared distance) and Lloyd's rounds."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 0.04, (60, DIMS)) for c in rng.random((12, DIMS))])
+
+    def plus_plus(k):
+        c = [x[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None] - np.array(c)) ** 2).sum(axis=2).min(axis=1)
+            c.append(x[rng.choice(len(x), p=d / d.sum())])
+        return np.array(c)
+
+    def inertia(c, rounds=0):
+        for _ in range(rounds):
+            near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+        return ((x[:, None] - c) ** 2).sum(axis=2).min(axis=1).sum()
+
+    known = min(inertia(plus_plus(12), 30) for _ in range(2))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ref_id long, x array<double>")
+    found = ix.train(rows, DIMS, k=12, iterations=30, sample_rows=10_000, refines=2)
+    assert inertia(np.array([r.c for r in found.collect()])) <= 1.1 * known
+    # As many seeds as points: every point is a centroid.
+    few = spark.createDataFrame([(i, [float(i)] * DIMS) for i in range(4)], "ref_id long, x array<double>")
+    assert sorted(r.c[0] for r in ix.train(few, DIMS, k=4, iterations=5, sample_rows=10, refines=1).collect()) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_evaluation_of_one_document(spark, tmp_path):
+    request = {"id": "7", "transaction": None, "customer": None, "merchant": None, "terminal": None, "last_transaction": None}
+    whole = tmp_path / "whole.json.gz"
+    whole.write_bytes(gzip.compress(json.dumps({"entries": [{"request": request, "expected_approved": True}, {"request": request | {"id": "8"}, "expected_approved": False}]}, indent=1).encode()))
+    got = inputs.read_evaluation(spark, f"file://{whole}").collect()
+    assert [(r.q_id, r.request.id, r.expected_approved) for r in got] == [(0, "7", True), (1, "8", False)]
