@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,21 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearvote.session import new_path, written  # noqa: F401  for the operators
+
 #: Rows of the largest bounded sample that any classifier here is fitted on.
 SAMPLE_ROWS = 6000
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a new local one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="nearvote-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 def importable(spark: SparkSession) -> None:
     """Python workers find this package where the driver did, whatever folder they start in; and unless the
     cluster says otherwise, they get Arrow batches of bounded bytes, as rows can be long."""
@@ -39,17 +30,6 @@ def importable(spark: SparkSession) -> None:
         spark.conf.set(limit, BATCH_BYTES)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that no classifier here may learn from. A null doc_id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
