@@ -15,8 +15,8 @@ wherever they are in the document, shorter ones if their diagonals lie in one ba
 A document is contaminated by an item if at least MIN_COVER of its bytes, and MIN_MATCH bytes, are covered by both
 together. `edits` are those of the verified windows.
 
-Items are taken in blocks of at most BLOCK_BYTES, each block against all documents; so the table of q-grams
-that goes to the executors has a bounded size. Items shorter than MIN_ITEM bytes, down to one character, match
+Items are taken in blocks whose tables have at most BLOCK_BYTES, each block against all documents; so what goes
+to the executors has a bounded size. Hits are made HITS at a time, and stretches alone are kept of them. Items shorter than MIN_ITEM bytes, down to one character, match
 where they are whole and verbatim, and don't begin or end amid a word (an edge that is a letter, digit or underscore has
 none beside it). Null or empty documents and items match nothing. Repeated items and documents give rows of
 their own.
@@ -44,7 +44,11 @@ MIN_COVER = 0.5
 MIN_ITEM = 48
 MIN_MATCH = 40
 LONG = 32
-BLOCK_BYTES = 4_000_000
+#: Bytes of the table of a block of items, and of each byte of text in it.
+BLOCK_BYTES = 32_000_000
+ENTRY_BYTES = 18
+#: Hits of q-grams that are made, and stretches that are counted, at a time.
+HITS, SLICE = 1 << 20, 1 << 17
 SCHEMA = "doc_id long, item_id long, start long, length long, edits int, cover double"
 _P = U(0x9E3779B97F4A7C15)
 
@@ -152,12 +156,14 @@ def _whole(text: str, item: str) -> int:
 
 @dataclass
 class Items:
-    """A block of items: their plain bytes, windows (item, start, width, edits), and the q-gram table sorted by
-    hash, with the window and the place in it; `first` marks the first 22 bits of hashes that occur. `shorts` has
-    those shorter than MIN_ITEM."""
+    """A block of items: their plain bytes; `data`, these joined, from `base` on each; windows (item, start, width,
+    edits); and the q-gram table sorted by hash, with the item and the place
+    in it; `first` marks the first 22 bits of hashes that occur. `shorts` has those shorter than MIN_ITEM."""
 
     ids: list[int]
     texts: list[bytes]
+    data: np.ndarray
+    base: np.ndarray
     windows: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
@@ -168,28 +174,21 @@ class Items:
     @staticmethod
     def of(rows: list[tuple[int, bytes]]) -> Items:
         shorts = Shorts.of([r for r in rows if 0 < len(r[1]) < MIN_ITEM])
-        ids, texts, windows, hs, owner, place = [], [], [], [], [], []
-        for item_id, text in rows:
-            n = len(text)
-            if n < MIN_ITEM:
-                continue
-            width = min(WINDOW, n)
-            starts = sorted({*range(0, n - width + 1, max(1, width // 2)), n - width})
-            h = grams(np.frombuffer(text, np.uint8))
-            for s in starts:
-                own = h[s : s + width - Q + 1]
-                hs.append(own)
-                owner.append(np.full(len(own), len(windows), np.int64))
-                place.append(np.arange(len(own), dtype=np.int64))
-                windows.append((len(ids), s, width, int(width * EDIT_SHARE)))
-            ids.append(item_id)
-            texts.append(text)
+        long = [r for r in rows if len(r[1]) >= MIN_ITEM]
+        texts, windows, hs = [text for _, text in long], [], []
+        for i, text in enumerate(texts):
+            n, width = len(text), min(WINDOW, len(text))
+            windows += [(i, s, width, int(width * EDIT_SHARE)) for s in sorted({*range(0, n - width + 1, max(1, width // 2)), n - width})]
+            hs.append(grams(np.frombuffer(text, np.uint8)))
         h = np.concatenate(hs) if hs else np.empty(0, U)
+        counts = [len(x) for x in hs]
         order = np.argsort(h, kind="stable")
+        owner, place = np.repeat(np.arange(len(hs)), counts), np.concatenate([np.arange(n) for n in counts]) if hs else np.empty(0, np.int64)
         first = np.zeros(1 << 22, bool)
         first[(h >> U(42)).astype(np.int64)] = True
-        join = lambda x: np.concatenate(x)[order] if x else np.empty(0, np.int64)
-        return Items(ids, texts, np.array(windows, np.int64).reshape(-1, 4), h[order], join(owner), join(place), first, shorts)
+        base = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        data = np.frombuffer(b"".join(texts) + b"\0" * (Q + 1), np.uint8)
+        return Items([i for i, _ in long], texts, data, base, np.array(windows, np.int64).reshape(-1, 4), h[order], owner[order].astype(np.int32), place[order].astype(np.int32), first, shorts)
 
 
 def edit_distances(patterns: list[bytes], regions: list[bytes], most: int) -> np.ndarray:
@@ -243,15 +242,79 @@ class Stretches:
     stop: np.ndarray
 
     @staticmethod
-    def of(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> Stretches:
-        """From q-gram hits; hits may repeat."""
-        order = np.lexsort((place, diagonal, item, doc))
-        doc, item, diagonal, place = doc[order], item[order], diagonal[order], place[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] > place[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:], [len(doc)])) - 1
-        return Stretches(doc[first], item[first], diagonal[first], place[first], place[last] + Q)
+    def of(docs: list[bytes], items: Items) -> Stretches:
+        """Those of q-gram hits (place in the documents, place in an item), HITS of which are made at a time.
+
+        A hit begins a stretch if the bytes before it differ, and ends one if those after it do; only these are
+        kept, so a run of one character in both takes as many as its documents have bytes, not their product."""
+        buffer = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
+        begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
+        h, size = grams(buffer), np.diff(items.base)
+        at = np.flatnonzero(items.first[(h >> U(42)).astype(np.int64)])
+        lo, hi = np.searchsorted(items.hashes, h[at], "left"), np.searchsorted(items.hashes, h[at], "right")
+        some = hi > lo
+        at, lo, n = at[some], lo[some], (hi - lo)[some]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ends: tuple[list, list] = [], []
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + HITS, "right")) - 1)
+            entry = np.repeat(lo[i:j] - (total[i:j] - total[i]), n[i:j]) + np.arange(total[j] - total[i])
+            pos, item, place = np.repeat(at[i:j], n[i:j]), items.owner[entry], items.place[entry]
+            i, own = j, items.base[item] + place
+            starts = (place == 0) | (pos == 0) | (buffer[pos - 1] != items.data[own - 1])
+            stops = (place == size[item] - Q) | (buffer[np.minimum(pos + Q, len(buffer) - 1)] != items.data[own + Q])
+            for kept, some in zip(ends, (starts, stops), strict=True):
+                kept.append((item[some].astype(np.int64), pos[some] - place[some], place[some].astype(np.int64)))
+        if not len(at):
+            return Stretches(*(np.empty(0, np.int64) for _ in range(5)))
+        both = []
+        for kept in ends:
+            cols = [np.concatenate(c) for c in zip(*kept, strict=True)]
+            order = np.lexsort(cols[::-1])
+            both.append([c[order] for c in cols])
+        (item, diagonal, start), (_, _, last) = both
+        doc = np.searchsorted(begin, diagonal + start, "right") - 1
+        diagonal = diagonal - begin[doc]
+        order = np.lexsort((start, diagonal, item, doc))
+        return Stretches(*(x[order] for x in (doc, item, diagonal, start, last + Q)))
+
+    def part(self, rows) -> Stretches:
+        return Stretches(self.doc[rows], self.item[rows], self.diagonal[rows], self.start[rows], self.stop[rows])
+
+    def regions(self, items: Items) -> np.ndarray:
+        """(document, window, first diagonal of a band) where the band has enough of the window's q-grams. Bands
+        have 2 * (edits + 1) diagonals, each half of one apart.
+
+        SLICE stretches are taken at a time, and again those whose diagonals could be in one band with the last."""
+        out, n, wide = [np.empty((0, 3), np.int64)], len(self.doc), 2 * (int(WINDOW * EDIT_SHARE) + 1)
+        key = items.windows[:, 0] << 32
+        for i in range(0, n, SLICE):
+            j = min(n, i + SLICE)
+            while j < n and (self.doc[j], self.item[j]) == (self.doc[i + SLICE - 1], self.item[i + SLICE - 1]) and self.diagonal[j] < self.diagonal[i + SLICE - 1] + wide:
+                j += 1
+            s = self.part(slice(i, j))
+            lo = np.searchsorted(key + items.windows[:, 1] + items.windows[:, 2] - Q, (s.item << 32) + s.start, "left")
+            hi = np.searchsorted(key + items.windows[:, 1], (s.item << 32) + s.stop - Q, "right")
+            count = np.maximum(0, hi - lo)
+            row = np.repeat(np.arange(len(count)), count)
+            window = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+            _, ws, w, e = items.windows[window].T
+            diagonal, doc = s.diagonal[row] + ws, s.doc[row]
+            start, stop = np.maximum(s.start[row], ws), np.minimum(s.stop[row] - Q, ws + w - Q) + 1
+            for shift in (0, 1):
+                band = (diagonal + shift * (e + 1)) // (2 * (e + 1))
+                order = np.lexsort((band, window, doc))
+                keys = doc[order], window[order], band[order]
+                if not len(order):
+                    continue
+                group = _groups(*keys)
+                head = np.flatnonzero(np.diff(group, prepend=-1))
+                d, k, b = (x[head] for x in keys)
+                most = items.windows[k, 3]
+                ok = _union(group, start[order], stop[order]) >= np.maximum(1, items.windows[k, 2] - Q + 1 - Q * most)
+                out.append(np.stack([d, k, b * 2 * (most + 1) - shift * (most + 1)], axis=1)[ok])
+        return np.unique(np.concatenate(out), axis=0)
 
     def bands(self, sizes: np.ndarray, shift: int) -> np.ndarray:
         """Bands of half an item's length, each half of one apart; so diagonals a quarter apart share one."""
@@ -292,106 +355,96 @@ def _long_matches(docs: list[bytes], items: Items) -> list[tuple[int, int, int,
     """Those of items of MIN_ITEM bytes or more."""
     if not len(items.hashes) or not docs:
         return []
-    sizes = np.array([len(d) + 1 for d in docs])
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    h = grams(np.frombuffer(b"\n".join(docs) + b"\n", np.uint8))
-    at = np.flatnonzero(items.first[(h >> U(42)).astype(np.int64)])
-    lo, hi = np.searchsorted(items.hashes, h[at], "left"), np.searchsorted(items.hashes, h[at], "right")
-    some = hi > lo
-    at, lo, n = at[some], lo[some], (hi - lo)[some]
-    if not len(at):
+    verbatim = Stretches.of(docs, items)
+    if not len(verbatim.doc):
         return []
-    entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    at = np.repeat(at, n)
-    doc = np.searchsorted(begin, at, "right") - 1
-    window, place = items.owner[entry], items.place[entry]
-    diagonal = at - begin[doc] - place  # where the window would begin in the document
-    edits = items.windows[window, 3]
-    verbatim = Stretches.of(doc, items.windows[window, 0], diagonal - items.windows[window, 1], place + items.windows[window, 1])
-    kept = []
-    for shift in (0, 1):  # bands of 2 * (edits + 1) diagonals, each half of one apart
-        step = edits + 1
-        band = (diagonal + shift * step) // (2 * step)
-        key = np.stack([doc, window, band, place], axis=1)
-        order = np.lexsort((place, band, window, doc))
-        key = key[order]
-        key = key[np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))]
-        new = np.concatenate(([True], (key[1:, :3] != key[:-1, :3]).any(axis=1)))
-        starts = np.flatnonzero(new)
-        count = np.diff(np.concatenate((starts, [len(key)])))
-        head = key[starts]
-        e, w = items.windows[head[:, 1], 3], items.windows[head[:, 1], 2]
-        enough = count >= np.maximum(1, w - Q + 1 - Q * e)
-        head, e = head[enough], e[enough]
-        first = head[:, 2] * 2 * (e + 1) - shift * (e + 1)  # the band's first diagonal
-        kept.append(np.stack([head[:, 0], head[:, 1], first], axis=1))
-    regions = np.unique(np.concatenate(kept), axis=0)
     # A region of one window can lie in two bands; both are verified, grouped by window size.
-    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    found: dict[tuple[int, int], Found] = {}
     todo: dict[int, list[tuple[int, int, int, bytes, bytes]]] = {}
-    for d, k, first in regions.tolist():
+
+    def verify(w: int) -> None:
+        e, group = int(w * EDIT_SHARE), todo.pop(w)
+        cost = edit_distances([x[3] for x in group], [x[4] for x in group], e)
+        for (d, k, left, _, _), c in zip(group, cost.tolist(), strict=True):
+            if c <= e:
+                item, start = items.windows[k, :2].tolist()
+                found.setdefault((d, item), Found.of(len(items.texts[item]))).add(start, w, left + e, int(c))
+
+    for d, k, first in verbatim.regions(items).tolist():
         item, start, w, e = items.windows[k].tolist()
         pattern = items.texts[item][start : start + w]
         left = max(0, first - e)
         region = docs[d][left : first + 3 * e + 2 + w]
         exact = region.find(pattern)
         if exact >= 0:
-            found.setdefault((d, item), []).append((start, w, left + exact, 0))
+            found.setdefault((d, item), Found.of(len(items.texts[item]))).add(start, w, left + exact, 0)
         elif len(region) >= w - e:
             todo.setdefault(w, []).append((d, k, left, pattern, region))
-    for w, group in todo.items():
-        e = int(w * EDIT_SHARE)
-        for i in range(0, len(group), 512):
-            part = group[i : i + 512]
-            cost = edit_distances([x[3] for x in part], [x[4] for x in part], e)
-            for (d, k, left, _, _), c in zip(part, cost.tolist(), strict=True):
-                if c <= e:
-                    item, start = items.windows[k, :2].tolist()
-                    found.setdefault((d, item), []).append((start, w, left + e, int(c)))
-    sizes = np.array([len(x) for x in items.texts])
-    base: dict[tuple[int, int], np.ndarray] = {}
-    for (d, item), hits in found.items():
-        covered = base[d, item] = np.zeros(sizes[item], bool)
-        for start, w, _, _ in hits:
-            covered[start : start + w] = True
-    best = {pair: (covered, []) for pair, covered in base.items()}
-    for d, item, rows in verbatim.likely(sizes, {pair: int(covered.sum()) for pair, covered in base.items()}):
-        start, stop, diagonal = verbatim.start[rows], verbatim.stop[rows], verbatim.diagonal[rows]
-        whole = Stretches(verbatim.doc[rows], verbatim.item[rows], diagonal, start, stop)
+            if len(todo[w]) == 512:
+                verify(w)
+    for w in list(todo):
+        verify(w)
+    sizes = np.diff(items.base)
+    best = {pair: (f.covered, f.low, f.high) for pair, f in found.items()}
+    for d, item, rows in verbatim.likely(sizes, {pair: int(f.covered.sum()) for pair, f in found.items()}):
+        own = verbatim.part(rows)
+        long = own.stop - own.start >= LONG
+        base = _covered(int(sizes[item]), own.start[long], own.stop[long])
+        if (d, item) in found:
+            base |= found[d, item].covered
+        # What a band adds to that, counted in the bytes that it lacks.
+        lacks = np.concatenate(([0], np.cumsum(~base)))
         for shift in (0, 1):
-            band = whole.bands(sizes, shift)
-            for b in np.unique(band):
-                use = (band == b) | (stop - start >= LONG)
-                steps = np.bincount(start[use], minlength=sizes[item] + 1) - np.bincount(stop[use], minlength=sizes[item] + 1)
-                covered = np.cumsum(steps)[: sizes[item]] > 0
-                if (d, item) in base:
-                    covered |= base[d, item]
-                if (d, item) not in best or covered.sum() > best[d, item][0].sum():
-                    at = diagonal[use] + start[use]
-                    best[d, item] = covered, list(zip(at.tolist(), (at + stop[use] - start[use]).tolist(), strict=True))
+            band = own.bands(sizes, shift)
+            group = _groups(band)
+            gain = _union(group, lacks[own.start], lacks[own.stop])
+            use = (group == np.argmax(gain)) | long
+            if (d, item) not in best or base.sum() + gain.max() > best[d, item][0].sum():
+                at = own.diagonal[use] + own.start[use]
+                covered = base | _covered(int(sizes[item]), own.start[use], own.stop[use])
+                best[d, item] = covered, int(at.min()), int((at + own.stop[use] - own.start[use]).max())
     out = []
-    for (d, item), (covered, places) in sorted(best.items(), key=lambda x: x[0]):
+    for (d, item), (covered, low, high) in sorted(best.items(), key=lambda x: x[0]):
         if covered.sum() >= _need(sizes[item]):
-            hits = found.get((d, item), [])
-            edits: dict[int, int] = {}
-            for start, _, _, c in hits:
-                edits[start] = min(c, edits.get(start, c))
-            places = places + [(h[2], h[2] + h[1]) for h in hits]
-            where = min(p[0] for p in places)
-            out.append((d, items.ids[item], where, max(p[1] for p in places) - where, sum(edits.values()), float(covered.mean())))
+            f = found.get((d, item))
+            low, high = (min(low, f.low), max(high, f.high)) if f else (low, high)
+            out.append((d, items.ids[item], low, high - low, sum(f.edits.values()) if f else 0, float(covered.mean())))
     return out
 
 
+@dataclass
+class Found:
+    """The verified windows of an item in a document: bytes that they cover, the least edits of each, where they are."""
+
+    covered: np.ndarray
+    edits: dict[int, int]
+    low: int
+    high: int
+
+    @staticmethod
+    def of(size: int) -> Found:
+        return Found(np.zeros(size, bool), {}, 1 << 62, -1)
+
+    def add(self, start: int, w: int, at: int, cost: int) -> None:
+        self.covered[start : start + w] = True
+        self.edits[start] = min(cost, self.edits.get(start, cost))
+        self.low, self.high = min(self.low, at), max(self.high, at + w)
+
+
+def _covered(size: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(stop, minlength=size + 1))[:size] > 0
+
+
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items, in blocks of at most BLOCK_BYTES (an item longer than that is a block); streamed, not collected."""
+    """The items, in blocks whose tables have at most BLOCK_BYTES (an item longer than that is a block); streamed, not collected."""
     rows, size = [], 0
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
         own = plain(text)
-        if rows and size + len(own) > BLOCK_BYTES:
+        if rows and size + len(own) * ENTRY_BYTES > BLOCK_BYTES:
             yield rows
             rows, size = [], 0
         rows.append((item_id, own))
-        size += len(own)
+        size += len(own) * ENTRY_BYTES
     yield rows
 
 
