@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearvote.llm.arrays import running, stretches
+
 
 @dataclass(frozen=True)
 class Segment:
@@ -78,14 +80,10 @@ def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, valid, formatted, loss_runs): the text, and the masked stretches (start, length) in it."""
     s = segments(turns)
     text = F.array_join(F.transform("segments", lambda x: x["text"]), "")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("runs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.length(x["text"]).cast("long")
-        run = F.struct(acc["at"].alias("start"), n.alias("length"))
-        return F.struct((acc["at"] + n).alias("at"), F.when(x["loss"], F.array_append(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"))
-
-    return s.select("conv_id", "valid", text.alias("formatted"), F.aggregate("segments", zero, step, lambda acc: acc["runs"]).alias("loss_runs"))
+    sizes = F.transform("segments", lambda x: F.length(x["text"]).cast("long"))
+    runs = F.zip_with("segments", running(sizes, lambda x, y: x + y, 0), lambda x, at: F.struct(at.alias("start"), F.length(x["text"]).cast("long").alias("length"), x["loss"].alias("loss")))
+    masked = F.transform(F.filter(runs, lambda r: r["loss"]), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))
+    return s.select("conv_id", "valid", text.alias("formatted"), masked.alias("loss_runs"))
 
 
 def read_back(texts: DataFrame) -> DataFrame:
@@ -110,18 +108,8 @@ def read_back(texts: DataFrame) -> DataFrame:
 
 
 def loss_text() -> Column:
-    """What `loss_runs` cut from `formatted`, unescaped; null if a run is out of order or beyond the turn that it begins in."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).alias("next"), F.col("loss_runs").alias("runs"), F.expr("cast(array() as array<string>)").alias("texts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        own = F.concat(x, F.lit(END))
-        end, run = acc["at"] + F.length(own), F.try_element_at(acc["runs"], acc["next"])
-        here = F.coalesce((run["start"] >= acc["at"]) & (run["start"] + run["length"] <= end), F.lit(False))
-        text = unescape(own.substr((run["start"] - acc["at"] + 1).cast("int"), run["length"].cast("int")))
-        return F.struct(end.alias("at"), F.when(here, acc["next"] + 1).otherwise(acc["next"]).alias("next"), acc["runs"].alias("runs"), F.when(here, F.array_append(acc["texts"], text)).otherwise(acc["texts"]).alias("texts"))
-
-    pieces = F.split("formatted", END, -1)
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), zero, step, lambda acc: F.when(acc["next"] > F.size(acc["runs"]), F.array_join(acc["texts"], "")))
+    """What `loss_runs` cut from `formatted`, unescaped."""
+    return F.array_join(F.transform(stretches(F.col("formatted"), F.col("loss_runs")), unescape), "")
 
 
 def report(turns: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index. DataFrame functions only.
 
-For each rule a Boolean trigram query is derived from its regular expression: all trigrams of one of its
-alternatives, as a text that matches must hold them. The index has the postings (trigram, document) of the
-trigrams in any query; postings are intersected within an alternative and united over alternatives, and only
-candidates are verified with the expression itself. Rules without a mandatory trigram scan every text.
+For each rule a Boolean trigram query is derived from its parsed regular expression: an alternative for each way
+through it, of all trigrams of the literal stretches on that way, as a text that matches must hold them. The index
+has the postings (trigram, document) of the trigrams in any query; the lists of an alternative's trigrams are
+intersected, those of a rule's alternatives united, and only candidates are verified with the expression itself.
+Rules with a way without a trigram scan every text.
 
 Matches are leftmost and not overlapping for each rule; those that fail the rule's least length are dropped.
 Null texts are empty. Positions are code points, end exclusive. Ids may be null, and rows may repeat: postings
@@ -14,46 +15,71 @@ they are in `redact` and are ignored in `report`.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearvote.llm.arrays import once, running, stretches
+
+
+#: Ways through an expression that are followed apart; beyond them, what branches counts as any text.
+MOST_WAYS = 64
+#: Stands for any text in a way.
+ANY = "\0"
+
+
+def ways_of(parsed) -> list[str]:
+    """The ways through a parsed expression: literal text, in lower case, with ANY for what is not fixed."""
+    out = [""]
+    for op, arg in parsed:
+        name, own = str(op), [ANY]
+        if name == "LITERAL":
+            own = [chr(arg).lower()]
+        elif name == "IN" and all(str(kind) == "LITERAL" for kind, _ in arg):
+            own = sorted({chr(c).lower() for _, c in arg})
+        elif name == "SUBPATTERN":
+            own = ways_of(arg[3])
+        elif name == "BRANCH":
+            own = [way for branch in arg[1] for way in ways_of(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            least, most, body = arg
+            once = ways_of(body)
+            own = [ANY] if not least and most != 1 else ["", *once] if not least else once if most == 1 else [way + ANY for way in once]
+        elif name == "AT":  # an edge takes no text
+            own = [""]
+        out = list(dict.fromkeys(a + b for a in out for b in (own if len(out) * len(own) <= MOST_WAYS else [ANY])))
+    return out
+
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: in Java's and RE2's common syntax. group, least: that group needs so many characters. literals:
-    its mandatory parts in order, each a tuple of alternatives, in lower case. base: the contract's own rule."""
+    """pattern: in the common syntax of Java, RE2 and Python. group, least: that group needs so many characters.
+    base: the contract's own rule."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    literals: tuple[tuple[str, ...], ...] = ()
     base: bool = False
 
     def query(self) -> list[list[str]]:
-        """Any of the lists has to be held in full; no list: every text is a candidate."""
-        ways = []
-        for choice in product(*self.literals):
-            grams = sorted({x[i : i + 3] for x in choice for i in range(len(x) - 2)})
-            if not grams:
-                return []
-            ways.append(grams)
-        return ways if self.literals else []
+        """Any of the lists of trigrams has to be held in full; no list: every text is a candidate."""
+        ways = {frozenset(x[i : i + 3] for x in way.split(ANY) for i in range(len(x) - 2)) for way in ways_of(_parser.parse(self.pattern))}
+        return sorted(sorted(w) for w in ways if not any(x < w for x in ways)) if all(ways) else []
 
 
 #: Fixed values; the order is that of kinds on equal starts. A run of 24 or more is what a longest run of one or
-#: more gives after those under 24 are dropped.
+#: more gives after those under 24 are dropped. Repeats that could be begun anew at each character are bounded.
 RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6, (("password", "passwd", "secret", "token", "api_key", "apikey"),), True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, (("akia",),), True),
-    Rule("hex", r"[0-9a-f]{24,}", 0, 24, (), True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, (("-----begin ",), ("private key-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 24, (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, (("eyj",), (".eyj",))),
-    Rule("url_login", r"[a-z]+://[A-Za-z0-9._~-]+:[^\x09-\x0D\x20@/]+@", 0, 12, (("://",),)),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 24),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{1,512}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("url_login", r"[a-z]{1,16}://[A-Za-z0-9._~-]+:[^\x09-\x0D\x20@/]+@", 0, 12),
 )
 SPAN = "struct<start:bigint,kind_order:int,kind:string,end:bigint>"
 
@@ -63,38 +89,45 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     least = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    # Each piece takes the match after it along: [(length before, length, length of the group)].
+    sizes = lambda x: F.transform(x, lambda y: F.length(y).cast("long"))
     # Split at -1 keeps empty pieces, also the last, which has no match.
-    both = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long")).alias("gap"), F.transform(found, lambda x: F.length(x).cast("long")).alias("len"), F.transform(least, lambda x: F.length(x).cast("long")).alias("least"))
-    both = F.filter(both, lambda x: x["len"].isNotNull())
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
+    both = F.filter(F.arrays_zip(sizes(F.split(text, rule.pattern, -1)).alias("gap"), sizes(found).alias("len"), sizes(least).alias("least")), lambda x: x["len"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (start + x["len"]).alias("end"))
-        return F.struct((start + x["len"]).alias("at"), F.when(x["least"] >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(m: Column) -> Column:
+        before = running(F.transform(m, lambda x: x["gap"] + x["len"]), lambda x, y: x + y, 0)
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (at + x["gap"] + x["len"]).alias("end"), (x["least"] >= rule.least).alias("ok"))
+        kept = F.filter(F.zip_with(m, before, span), lambda x: x["ok"])
+        return F.transform(kept, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "kind_order", "kind", "end"))))
 
-    return F.aggregate(both, zero, step, lambda acc: acc["spans"])
+    return once(both, placed)
 
 
 def postings(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(key, trigram) for each document (key, text) and each trigram of a query that its text holds."""
+    """(trigram, key) for each trigram of a query and each document (key, text) that holds it."""
     grams = sorted({g for rule in rules for way in rule.query() for g in way})
     if not grams:
-        return docs.select("key", F.lit("").alias("trigram")).limit(0)
+        return docs.select(F.lit("").alias("trigram"), "key").limit(0)
     lower = F.lower("text")
     held = F.filter(F.array(*(F.when(F.contains(F.col("lower"), F.lit(g)), F.lit(g)) for g in grams)), lambda x: x.isNotNull())
-    return docs.select("key", lower.alias("lower")).select("key", F.explode(held).alias("trigram"))
+    return docs.select("key", lower.alias("lower")).select(F.explode(held).alias("trigram"), "key")
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(key, rules): the numbers of the rules whose query a document's postings meet."""
-    ways = [(i, grams) for i, rule in enumerate(rules) for grams in rule.query()]
+    """(key, rules): the numbers of the rules whose query the postings `index` meet.
+
+    Each posting goes to the alternatives that have its trigram, with the trigram's place there as a bit; an
+    alternative's lists have those documents in common that have all its bits. The table of alternatives is the
+    rules' own, and bits are joined before anything is shuffled."""
+    ways = [(rule, grams) for rule, r in enumerate(rules) for grams in r.query()]
+    terms = [(gram, way, 1 << at) for way, (_, grams) in enumerate(ways) for at, gram in enumerate(grams)]
+    assert all(len(grams) < 63 for _, grams in ways)
     if not ways:
         return index.select("key", F.array(F.lit(0)).alias("rules")).limit(0)
-    sets = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))  # at most the trigrams of all queries
-    hits = F.array(*(F.when(F.size(F.array_except(F.array(*map(F.lit, grams)), F.col("held"))) == 0, F.lit(i)) for i, grams in ways))
-    return sets.select("key", F.array_distinct(F.filter(hits, lambda x: x.isNotNull())).alias("rules")).where("size(rules) > 0")
+    by_gram = F.create_map(*(x for gram in sorted({t[0] for t in terms}) for x in (F.lit(gram), F.array(*(F.struct(F.lit(way).alias("way"), F.lit(bit).cast("long").alias("bit")) for g, way, bit in terms if g == gram)))))
+    met = index.select("key", F.explode(F.element_at(by_gram, F.col("trigram"))).alias("t")).groupBy("key", F.col("t.way").alias("way")).agg(F.bit_or("t.bit").alias("bits"))
+    whole = F.array(*(F.lit((1 << len(grams)) - 1).cast("long") for _, grams in ways))
+    rule = F.element_at(F.array(*(F.lit(rule) for rule, _ in ways)), F.col("way") + 1)
+    return met.where(F.col("bits") == F.element_at(whole, F.col("way") + 1)).groupBy("key").agg(F.collect_set(rule).alias("rules"))
 
 
 def _fresh(name: str, columns: list[str]) -> str:
@@ -132,21 +165,28 @@ def report(documents: DataFrame) -> DataFrame:
     return scan(documents.select("doc_id", "text")).select("doc_id", *map(count, base), F.sha2(as_text(F.filter(spans, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), as_text(spans).alias("spans"))
 
 
+def _cut_out(text: Column, spans: Column, mark: str) -> Column:
+    """text with `mark` in place of its spans, sorted by start; those that overlap or touch are one."""
+
+    def around(before: Column) -> Column:
+        """What stays, as (start, length); before: by span, the largest end before it."""
+        both = F.zip_with(spans, before, lambda s, top: F.struct(s["start"].alias("start"), top.alias("top"), (s["start"] > top).alias("new")))
+        heads = F.filter(both, lambda x: x["new"])
+        # From the end of a group, 0 at first, to the start of the next one, or the text's end.
+        begins = F.concat(F.array(F.lit(0).cast("long")), F.slice(F.transform(heads, lambda x: x["top"]), 2, F.greatest(F.size(heads) - 1, F.lit(0))), F.array(F.array_max(F.transform(spans, lambda s: s["end"]))))
+        return F.zip_with(begins, F.concat(F.transform(heads, lambda x: x["start"]), F.array(F.length(text).cast("long"))), lambda at, to: F.struct(at.alias("start"), (to - at).alias("length")))
+
+    tops = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y), -1)
+    return F.array_join(stretches(text, once(tops, around)), mark)
+
+
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of documents with all their columns; spans in `text` are replaced by `mark` (overlapping ones
     by one mark), and n_chars, if there, is that of the new text."""
     found = _fresh("secret_spans", documents.columns)
-    merged = F.aggregate(
-        found, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]),
-            F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))),
-        ).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-    )
-    piece = lambda acc, s: F.struct(F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    text = F.aggregate(merged, start, piece, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
-    clean = scan(documents, into=found).withColumn("text", F.when(F.size(found) > 0, text).otherwise(F.col("text")))
+    clean = scan(documents, into=found)
+    text = F.when(F.size(found) > 0, _cut_out(F.col("text"), F.col(found), mark)).otherwise(F.col("text"))
+    clean = clean.withColumn("text", text)
     if "n_chars" in documents.columns:
         clean = clean.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*documents.columns)

@@ -1,9 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Records sort by page id and digest. Shards are ranges of both with about SHARD_BYTES of payload; their bounds follow
-from the sizes of all keys (id, head of the digest), or, beyond MOST_KEYS keys, of those chosen by hash; so they are the
-same at each run, whatever the ids' spread, and an id that many pages share is cut by its digests. Within a shard, files roll at ROLL_BYTES of compressed
-size. Headers and digests are made anew. A task writes under temporary names; the rows that it returns, as
+Records sort by page id and digest. Shards are ranges of both with about SHARD_BYTES of payload, or the MOST_SHARDS-th
+part of all if that is more. Their bounds follow from running sums over the sizes of all keys (id, head of the
+digest), made by the executors; so they are the same at each run, whatever the ids' spread, and an id that many pages
+share is cut by its digests. Only bounds come to the driver. Within a shard, files roll at ROLL_BYTES of compressed size. Headers and digests are made anew. A task writes under temporary names; the rows that it returns, as
 a written table, name the files of the attempts that count. A second job renames them, and the manifest,
 written last, with Spark's commit marker, makes the archive valid.
 
@@ -22,19 +22,19 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearvote.llm.common import new_path, written
 
 SHARD_BYTES = 32_000_000
 ROLL_BYTES = 8_000_000
-#: Keys that bounds are chosen from, about: a bound on what the driver holds; keys for each shard then.
-MOST_KEYS = 1 << 20
-KEYS_A_SHARD = 4
+#: Shards of an archive at most, about: a bound on what the driver holds and tasks are sent.
+MOST_SHARDS = 50_000
 #: Tasks that read an archive at most.
 MOST_READERS = 20_000
 DATE = "1970-01-01T00:00:00Z"
@@ -89,8 +89,8 @@ def keys(pages: DataFrame) -> DataFrame:
 def revisits(known: DataFrame, bounds: list[Key], min_bytes: int = 0) -> DataFrame:
     """(page_id, sha1, keeper, shard): the pages among `known` (keys) that revisit the page `keeper`."""
     large = known.where(F.col("size") >= min_bytes).select("page_id", "sha1")
-    # Only payloads that several rows have take part in the join.
-    groups = large.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1 and keeper is not null").select("sha1", "keeper")
+    # Only payloads that several rows have take part in the join, as a table: so a hot payload's rows can be split.
+    groups = written(large.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1 and keeper is not null").select("sha1", "keeper"), "warc-keepers")
     found = large.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "sha1", "keeper").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,22 +102,22 @@ def revisits(known: DataFrame, bounds: list[Key], min_bytes: int = 0) -> DataFra
 
 
 def shard_bounds(known: DataFrame, shard_bytes: int) -> list[Key]:
-    """The first keys of all shards but the first: at most about MOST_KEYS / KEYS_A_SHARD."""
+    """The first keys of all shards but the first. A key in whose bytes, counted over all keys before it, a multiple
+    of the shard's size lies begins a shard."""
     head = F.conv(F.substring("sha1", 1, 8), 16, 10).cast("long")
-    sizes = written(known.select("page_id", head.alias("head"), (F.col("size") + 400).alias("size")).groupBy("page_id", "head").agg(F.sum("size").alias("size")), "warc-sizes")
-    n, total = sizes.agg(F.count("*"), F.sum("size")).first()
-    if n > MOST_KEYS:
-        chosen = F.pmod(F.xxhash64("page_id", "head"), F.lit(1 << 40)) < F.lit(int((1 << 40) * MOST_KEYS / n))
-        sizes, shard_bytes = sizes.where(chosen), max(shard_bytes, -(-total * KEYS_A_SHARD // MOST_KEYS))
-    rows = sorted((_key(p, h), size) for p, h, size in zip(*(c.to_pylist() for c in sizes.toArrow().select(["page_id", "head", "size"]).columns), strict=True))
-    seen = sum(size for _, size in rows)
-    bounds, before, shard = [], 0, 0
-    for key, size in rows:
-        if (at := before * total // seen // shard_bytes) > shard:
-            bounds.append(key)
-            shard = at
-        before += size
-    return bounds
+    sizes = known.select("page_id", head.alias("head"), (F.col("size") + 400).alias("size")).groupBy("page_id", "head").agg(F.sum("size").alias("size"))
+    ranges = written(sizes.repartitionByRange("page_id", "head").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    parts = sorted(map(tuple, ranges.groupBy("part").agg(F.sum("size")).collect()))  # a row for each partition
+    begins = [(part, before) for (part, _), before in zip(parts, accumulate((size for _, size in parts), initial=0), strict=False)]
+    if not begins:
+        return []
+    step = max(shard_bytes, -(-sum(size for _, size in parts) // MOST_SHARDS))
+    own = Window.partitionBy("part").orderBy(F.col("page_id").asc_nulls_first(), "head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = known.sparkSession.createDataFrame(begins, "part int, before long")
+    ends = ranges.join(F.broadcast(offsets), "part").withColumn("end", F.col("before") + F.sum("size").over(own))
+    begins_one = F.floor((F.col("end") - 1) / step) > F.floor((F.col("end") - F.col("size") - 1) / step)
+    rows = ends.where(F.col("end") > F.col("size")).where(begins_one).select("page_id", "head").collect()
+    return sorted(_key(r.page_id, r.head) for r in rows)
 
 
 def _header(kind: str, record_id: str, length: int, more: list[tuple[str, str]]) -> bytes:

@@ -4,6 +4,7 @@ import base64
 import glob
 import hashlib
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,10 +113,10 @@ def test_archives_are_the_same_each_time_and_roll(spark, tmp_path):
         warc.read_archive(spark, path).collect()
 
 
-@pytest.mark.parametrize("most", [1 << 20, 100])
+@pytest.mark.parametrize("most", [50_000, 12])
 def test_shards_of_uneven_ids(spark, tmp_path, monkeypatch, most):
-    """One far id, and an id that a third of the pages share; all keys, or some, choose the bounds."""
-    monkeypatch.setattr(warc, "MOST_KEYS", most)
+    """One far id, and an id that a third of the pages share; the shard's size, or the number of shards, sets the bounds."""
+    monkeypatch.setattr(warc, "MOST_SHARDS", most)
     rows = spark.range(600).selectExpr("case when id = 0 then 1L << 60 when id % 3 = 0 then 7 when id % 50 = 1 then null else id end as page_id", "'http://h/' as url", "repeat(sha2(cast(id as string), 512), 20) as html")
     manifest = warc.write_archive(rows, f"file://{tmp_path}/a", shard_bytes=100_000)
     sizes = [r.n for r in manifest.groupBy("shard").agg({"records": "sum"}).toDF("shard", "n").collect()]
@@ -123,6 +124,22 @@ def test_shards_of_uneven_ids(spark, tmp_path, monkeypatch, most):
     assert warc.read_archive(spark, f"file://{tmp_path}/a").count() == 600
 
 
+def test_shard_bounds_equal_brute_force(spark):
+    known = spark.range(500).selectExpr("case when id % 17 = 0 then null else id * id % 300 - 40 end as page_id", "sha1(cast(id % 200 as string)) as sha1", "id % 90 as size").repartition(5)
+    keys = {}
+    for r in known.collect():
+        key = warc._key(r.page_id, int(r.sha1[:8], 16))
+        keys[key] = keys.get(key, 0) + r.size + 400
+    for step in (1, 5_000, 100_000, 10**9):
+        want, before = [], 0
+        for key in sorted(keys):
+            if before and any(x % step == 0 for x in range(before, before + keys[key])):
+                want.append(key)
+            before += keys[key]
+        assert warc.shard_bounds(known, step) == want
+    assert warc.shard_bounds(known.limit(0), 10) == []
+
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -192,3 +209,15 @@ def test_stages_on_edge_cases(spark, tmp_path):
     assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0) and sum(r.start == 0 for r in packed) == len(edge_rows())
     assert {r.doc_id for r in corpus_pipeline.run(spark, place).collect()} >= {None, *range(12)}
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_very_long_conversation(spark):
+    """Time follows the turns: 60,000 of them, and a turn of 3 MB."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id, ' <é>') as text")
+    rows = rows.unionByName(spark.sql("select 2L as conv_id, 0L as turn, 'user' as role, 'q' as text union all select 2L, 1L, 'assistant', repeat('long [é] ', 400000)"))
+    began = time.time()
+    got = {r.conv_id: r for r in chat_format.report(rows).collect()}
+    assert time.time() - began < 60
+    for conv, loss in ((1, "".join(f"t{i} <é>" for i in range(1, n, 2))), (2, "long [é] " * 400_000)):
+        assert (got[conv].loss_chars, got[conv].loss_sha256, got[conv].valid) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), True)
