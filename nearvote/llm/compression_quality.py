@@ -3,8 +3,9 @@ normalised difference of compressed sizes, calibrated by a logistic curve, is th
 the text's size, as short texts give little evidence, and how far it compresses at all.
 
 A text is compressed in blocks of BLOCK bytes, all of them, with either dictionary, so that the dictionaries
-matter to the end of a long text. Blocks of labelled documents that are not held out, of a bounded sample
-(common.SAMPLE_ROWS documents), build the dictionaries; other documents of the sample calibrate.
+matter to the end of a long text. A bounded sample of labelled documents that are not held out
+(common.SAMPLE_ROWS) is used: blocks of one half of it, of either label at most TRAIN_BLOCKS, chosen by hash, build the
+dictionaries; the other half calibrates, by whole texts as in scoring.
 
 Null and empty texts have a difference of 0 and get the curve's value for a text of no bytes. Without labels of both kinds the
 score is the share of good labels (0.5 without any). Rows, ids and other columns: a row for each input row,
@@ -22,12 +23,12 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import held_out, labelled_sample, text_blocks
+from nearvote.llm.common import held_out, labelled_sample, text_blocks, written
 
 BLOCK = 512
-#: Bytes of a dictionary; blocks of a document that training takes at most, spread over it.
+#: Bytes of a dictionary; blocks of either label that it is trained on at most.
 DICTIONARY = 48_000
-DOC_BLOCKS = 6
+TRAIN_BLOCKS = 8_000
 LEVEL = 3
 THRESHOLD = 0.7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, difference double"
@@ -44,9 +45,7 @@ class CompressionModel:
         sizes = _sizes(self.good), _sizes(self.bad)
 
         def run(text: str | None) -> tuple[float, float]:
-            blocks = _blocks(text or "")
-            g, b = (sum(map(f, blocks)) for f in sizes)
-            x = evidence(g, b, sum(map(len, blocks)), sum(map(len, blocks)))
+            x = _evidence(text or "", *sizes)
             return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -60, 60)))), float(x[0])
 
         return run
@@ -66,11 +65,13 @@ def _sizes(dictionary: bytes):
     return lambda block: len(pack(block))
 
 
-def evidence(good: int, bad: int, size: int, whole: int) -> np.ndarray:
+def _evidence(text: str, good_size, bad_size) -> np.ndarray:
     """What the curve takes: the normalised difference (above 0, the text is more like good text), the same for
-    short texts alone, how far it compresses, shortness, 1. size: bytes that were compressed, of `whole`."""
+    short texts alone, how far it compresses, shortness, 1."""
+    blocks = _blocks(text)
+    good, bad, size = sum(map(good_size, blocks)), sum(map(bad_size, blocks)), sum(map(len, blocks))
     d = (bad - good) / (bad + good) if good + bad else 0.0
-    short = 1 / (1 + whole / 200)
+    short = 1 / (1 + size / 200)
     return np.array([d, d * short, min(1.0, (good + bad) / (2 * size)) if size else 0.5, short, 1.0])
 
 
@@ -85,29 +86,36 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
+    sample = written(labelled_sample(docs, labels, "quality"), "quality-sample").select("doc_id", "text", (F.col("y") == 1).alias("good"))
+    kinds = sorted(r.good for r in sample.select("good").distinct().collect())
+    if len(kinds) < 2:
+        return CompressionModel(b"", b"", (0.0, 0.0, 0.0, 0.0, {(): 0.0, (False,): -4.0, (True,): 4.0}[tuple(kinds)]))
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
-            rows = []
-            for doc_id, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True):
-                own = _blocks(text)
-                pick = range(len(own)) if len(own) <= DOC_BLOCKS else sorted({round(i * (len(own) - 1) / (DOC_BLOCKS - 1)) for i in range(DOC_BLOCKS)})
-                rows.append({"doc_id": doc_id, "y": y, "size": sum(map(len, own)), "blocks": [own[i] for i in pick]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("size", pa.int64()), ("blocks", pa.list_(pa.binary()))]))
-
-    sample = labelled_sample(docs, labels, "quality").mapInArrow(blocks, "doc_id long, y int, size long, blocks array<binary>")
-    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    kinds = {1 if r["y"] == 1 else 0 for r in rows}
-    if len(kinds) < 2:
-        return CompressionModel(b"", b"", (0.0, 0.0, 0.0, 0.0, {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(kinds)]))
-    build, check = [r for i, r in enumerate(rows) if i % 2], [r for i, r in enumerate(rows) if not i % 2]
-    # A document in both halves, as a copy, would flatter the curve: copies of built blocks do not calibrate.
-    used = {x for r in build for x in r["blocks"]}
-    check = [r for r in check if not used.issuperset(r["blocks"])] or rows
-    good, bad = (_dictionary([x for r in build if (r["y"] == 1) == is_good for x in r["blocks"]]) for is_good in (True, False))
-    sizes = _sizes(good), _sizes(bad)
-    x = np.array([evidence(*(sum(map(f, r["blocks"])) for f in sizes), sum(map(len, r["blocks"])), r["size"]) for r in check])
-    y = np.array([float(r["y"] == 1) for r in check])
-    return CompressionModel(good, bad, _logistic(x, y))
+            rows = [(good, x) for text, good in zip(b.column("text").to_pylist(), b.column("good").to_pylist(), strict=True) for x in _blocks(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.bool_()), (1, pa.binary()))], ["good", "block"])
+
+    # A text in both halves, as a copy, would flatter the curve; so a text's hash decides.
+    build = F.pmod(F.xxhash64("text"), F.lit(2)) == 1
+    own = sample.where(build).select("text", "good").mapInArrow(blocks, "good boolean, block binary").distinct()
+
+    def dictionary(good: bool) -> bytes:
+        rows = own.where(F.col("good") == good).orderBy(F.xxhash64("block"), "block").limit(TRAIN_BLOCKS).select("block").toArrow()
+        return _dictionary(rows.column("block").to_pylist())
+
+    good, bad = dictionary(True), dictionary(False)
+
+    def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _sizes(good), _sizes(bad)
+        for b in text_blocks(batches):
+            rows = [_evidence(text, *sizes).tolist() for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
+
+    # Where one half has no text, all calibrate.
+    rest = sample.where(~build)
+    rows = (sample if rest.isEmpty() else rest).mapInArrow(evidences, "doc_id long, good boolean, x array<double>").toArrow().sort_by("doc_id").to_pylist()
+    return CompressionModel(good, bad, _logistic(np.array([r["x"] for r in rows]), np.array([float(r["good"]) for r in rows])))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
