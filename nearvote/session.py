@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of this process's tables in the shared folder.
+_MADE: list[str] = []
+
 
 def importable(spark: SparkSession) -> None:
     """Python workers find this package where the driver did, whatever folder they start in."""
@@ -31,7 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, for a table that lasts as long as this process."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(remove_tables)
+    _MADE.append(path)
+    return path
+
+
+def remove_tables() -> None:
+    """Removes what this process has written at new_path, as far as Spark still runs."""
+    context = SparkContext._active_spark_context
+    while _MADE and context is not None:
+        try:
+            path = context._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        except (Py4JError, OSError):  # the JVM is gone, or the folder can't be reached: what is left stays
+            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
