@@ -10,8 +10,11 @@ Steps, each over all documents:
 3. Each group compares its members to three leaders, chosen by hash: as many pairs as members. Pairs that the
    sizes or the parity sketches rule out are dropped (exact); the others are verified on the full sets.
    Components follow by label propagation.
-4. In groups whose members are still of several components, all pairs of different components are held
-   against sizes and sketches, in blocks of bounded size, and the survivors are verified.
+4. Groups whose members are still of several components are united where they overlap; very large ones are
+   signed anew without the shingles that their members have in common. Then all members that are not of their
+   group's main component are held against the group's sizes and sketches, in blocks of bounded size. Each gives
+   its nearest few, which are verified; rounds with more follow until no pair of different components is left
+   untried. So what leaves a block follows its rows, while links still unite most components early.
 
 Null or wordless texts have no shingle, no links and form a component each; null ids get a null component
 and no links. Repeated ids are rows of their own. Other columns of the input are ignored.
@@ -36,11 +39,19 @@ STOP_DF = 3
 LEADERS = 3
 #: From more classes of one batch that share a signature on, they no longer go where other entries of it go.
 HOT = 64
-#: Rows of one block in step 4.
-BLOCK = 1024
+#: Rows of one block in step 4; pairs that are compared at once.
+BLOCK = 2048
+STEP = 1 << 18
+#: Pairs that each row of a block gives in the first round; every round gives MORE times as many.
+MOST, MORE = 16, 16
+#: Rounds in which overlapping groups are united; pairs whose comparison costs as much as one row of a group.
+UNIONS, ROW_PAIRS = 2, 256
+#: Groups of more pairs than WIDE blocks hold are refined, LEVELS times at the most, by what about SAMPLE members share.
+WIDE, LEVELS, SAMPLE = 16, 2, 64
+#: Bytes of text whose signatures one task of step 2 takes.
+PART_BYTES = 24_000_000
 #: Bits of the filter that picks candidate documents in a pass over the texts.
 FILTER_BITS = 1 << 22
-CLASS = "fp long, n int, sketch array<long>"
 
 
 def _stop_shingles(docs: DataFrame) -> np.ndarray:
@@ -223,34 +234,31 @@ def _long_apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return large.union(pairs.where(f"n_a <= {P.LONG} or n_b <= {P.LONG}").select("a", "b"))
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over the long column `id`; its size does not depend on the rows."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = ids.select(F.shiftright(h, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 5, np.int64)
-    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return bits
+def _sets(docs: DataFrame, reps: DataFrame, fps: DataFrame) -> DataFrame:
+    """(fp, features) of the classes `fps`, each from one document.
 
-
-def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links, found on the full sets of one document of each class.
-
-    One pass over the texts picks these documents through a bit filter; false picks leave by the join.
+    One pass over the texts picks these documents through a filter of FILTER_BITS bits, a table of at most
+    FILTER_BITS / 32 rows whatever the input; false picks leave by the join.
     """
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select("fp", F.col("rep").alias("id")), "wanted")
-    bits = _bits(wanted)
-    picked = docs.where("doc_id is not null").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    wanted = written(fps.join(reps, "fp").select("fp", F.col("rep").alias("id")), "wanted")
+    word = lambda c: F.shiftright(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)), 5)
+    bit = lambda c: f"shiftleft(1L, cast(pmod(xxhash64({c}), {FILTER_BITS}) & 31 as int))"
+    known = written(wanted.select(word("id").alias("_w"), F.expr(bit("id")).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b")), "filter")
+    picked = docs.where("doc_id is not null").withColumn("_w", word("doc_id")).join(F.broadcast(known), "_w").where(F.expr(f"_b & {bit('doc_id')} <> 0"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
-            h = b.column("_h").to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array((bits[h >> 5] >> (h & 31)) & 1 == 1))
             got = [P.shingles(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([P.fingerprint(s) if len(s) else 0 for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["id", "fp", "features"])
 
-    found = picked.select("doc_id", "text", "_h").mapInArrow(sets, "id long, fp long, features binary")
+    found = picked.select("doc_id", "text").mapInArrow(sets, "id long, fp long, features binary")
     # A repeated id can have other texts, and rows can repeat: one row of each class.
-    sets_ = written(found.join(wanted, ["id", "fp"]).groupBy("id", "fp").agg(F.first("features").alias("features")), "sets")
+    return written(found.join(wanted, ["id", "fp"]).groupBy("fp").agg(F.first("features").alias("features")), "sets")
+
+
+def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links, found on the full sets of one document of each class."""
+    sets = _sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,7 +267,7 @@ def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
     both = pairs
     for side in "ab":
-        both = both.join(sets_.select(F.col("fp").alias(side), F.col("features").alias(f"f{side}")), side)
+        both = both.join(sets.select(F.col("fp").alias(side), F.col("features").alias(f"f{side}")), side)
     return written(both.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long"), "links")
 
 
@@ -279,72 +287,183 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components in the signatures of `members` (sig, fp, flag, comp) that may link.
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with their components, of those groups alone that hold several and have something to compare; and by
+    group its first member `head` (by hash) and the number g of its members."""
+    placed = written(members.join(comps, members.fp == comps.id, "left").select(*members.columns, F.coalesce("label", "fp").alias("comp")), "placed")
+    groups = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("flag").alias("any"), *_head(0)).where("any and lo <> hi")
+    return placed.join(written(groups.select("sig", "head", "g"), "mixed"), "sig")
+
+
+def _head(seed: int) -> tuple:
+    return F.min_by("fp", F.xxhash64("fp", F.lit(seed))).alias("head"), F.count("*").alias("g")
+
+
+def _merged(placed: DataFrame) -> DataFrame:
+    """Members (sig, fp, flag, comp) by fewer groups: near copies, or documents with one passage, share many of
+    their signatures, so their groups overlap. Groups with one head become one group where that costs no more, in
+    pairs and in rows, than they do; and once more, with heads by another hash."""
+    keys = [c for c in ("sig", "parent", "fp") if c in placed.columns]
+    for seed in range(UNIONS):
+        if seed:
+            placed = placed.join(written(placed.groupBy("sig").agg(*_head(seed)), "heads"), "sig")
+        rows = written(placed, "headed")
+        cost = rows.groupBy("head", "fp").agg(F.sum(F.col("g") + ROW_PAIRS).alias("apart")).groupBy("head").agg(F.sum("apart").alias("apart"), F.count("*").alias("n"))
+        one = written(cost.where(f"double(n) * (n + {ROW_PAIRS}) <= apart").select(F.col("head").alias("one")), "united")
+        rows = rows.join(one, F.col("head") == F.col("one"), "left").withColumn("sig", F.when(F.col("one").isNull(), F.col("sig")).otherwise(F.xxhash64("head", F.lit(seed + 1))))
+        placed = written(rows.groupBy(*keys).agg(F.max("flag").alias("flag"), F.first("comp").alias("comp")), "merged")
+    return placed
 
-    The members of a signature are cut into blocks of about BLOCK rows; a task holds two blocks at most.
+
+def _sizes(merged: DataFrame) -> DataFrame:
+    """By group: its most frequent component `main`, the number g of its members, and how many, s, are of others.
+    A pair of different components has at least one of these s."""
+    keys = [c for c in ("sig", "parent") if c in merged.columns]
+    by = merged.groupBy(*keys, "comp").agg(F.count("*").alias("c"), F.max("flag").alias("flag"))
+    own = by.groupBy(*keys).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("g"), F.max("c").alias("c"), F.max("flag").alias("flag"))
+    return written(own.where("flag and g > c").select(*keys, "main", "g", (F.col("g") - F.col("c")).alias("s")), "sizes")
+
+
+def _refined(large: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members (sig, parent, fp, flag) of finer groups of the large groups `large` (sig, fp, g): signatures anew,
+    without what members have in common.
+
+    What at least 3 of about SAMPLE members of a group hold is left out of all its sets (any such choice is
+    exact, see partenum), so members that share a passage and no more meet no longer. Signatures of one set go.
     """
-    sizes = written(members.groupBy("sig").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("k")), "sizes")
-    dealt = (
-        members.join(sizes, "sig").join(classes, "fp")
-        .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "flag", "comp", "n", "sketch", "bits")
-    )
+    sets = _sets(docs, reps, large.select("fp").distinct())
+    full = written(large.join(sets, "fp").select("sig", "fp", "g", "features"), "full")
 
-    key = ["sig", "i", "j"]
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(_compare_blocks, "a long, b long").distinct()
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sig, features in zip(b.column("sig").to_pylist(), b.column("features").to_pylist(), strict=True):
+                h = np.frombuffer(features, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sig, np.int64)), pa.array(h)], ["sig", "h"])
 
+    some = full.where(F.pmod(F.xxhash64("fp", "sig"), F.col("g")) < SAMPLE).select("sig", "features").mapInArrow(spread, "sig long, h long")
+    common = some.groupBy("sig", "h").count().where("count >= 3").groupBy("sig").agg(F.sort_array(F.collect_list("h")).alias("common"))
+    common = written(common, "common")
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, i, j): compares each row to the d-th next of its block, for d = 1, 2, ...; a block
-    that may go on in the next batch waits for it."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-        keys = [table.column(c).to_numpy() for c in ("sig", "i", "j")]
-        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        cut = int(new[-1]) if len(new) else 0
-        rest = table.slice(cut)
-        if cut:
-            yield _block_pairs(table.slice(0, cut).combine_chunks(), new)
-    if rest is not None and rest.num_rows:
-        rest = rest.combine_chunks()
-        keys = [rest.column(c).to_numpy() for c in ("sig", "i", "j")]
-        yield _block_pairs(rest, np.concatenate((np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, [rest.num_rows])))
-
-
-def _block_pairs(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
-    fp, comp, n, i, j, mine = (t.column(c).to_numpy() for c in ("fp", "comp", "n", "i", "j", "mine"))
-    flag = t.column("flag").to_numpy(zero_copy_only=False)
-    sk = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
-    end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
-    at, d, found = np.arange(len(fp)), 1, [np.empty((0, 2), np.int64)]
-    while len(at := at[at + d < end[at]]):
-        to = at + d
-        ok = (comp[at] != comp[to]) & (flag[at] | flag[to]) & ((i[at] == j[at]) | (mine[at] != mine[to]))
-        ok &= 4 * np.minimum(n[at], n[to]) >= 3 * np.maximum(n[at], n[to])
-        x, y = at[ok], to[ok]
-        near = 7 * np.bitwise_count(sk[x] ^ sk[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
-        x, y = fp[x[near]], fp[y[near]]
-        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        d += 1
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sig, fp, features, stop in zip(*(b.column(c).to_pylist() for c in ("sig", "fp", "features", "common")), strict=True):
+                s = np.frombuffer(features, P.U)
+                own = P.group_signatures(s, np.sort(np.array(stop or [], np.int64).view(P.U)), sig)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), sig)), pa.array(np.full(len(own), fp))], ["sig", "parent", "fp"])
+
+    finer = written(full.join(common, "sig", "left").select("sig", "fp", "features", "common").mapInArrow(sign, "sig long, parent long, fp long"), "finer")
+    several = written(finer.groupBy("sig").count().where("count > 1").select("sig"), "several")
+    return finer.join(several, "sig").select("sig", "parent", "fp", F.lit(True).alias("flag")).distinct()
+
+
+def _to_compare(members: DataFrame, comps: DataFrame, docs: DataFrame, reps: DataFrame, large: int) -> DataFrame:
+    """(sig, fp, flag): groups that together hold all pairs of different components in the groups of `members`.
+    Groups of over `large` such pairs are replaced by finer ones where these have fewer pairs in all."""
+    merged = _merged(_placed(members, comps))
+    done = []
+    for _ in range(LEVELS):
+        sizes = _sizes(merged)
+        wide = written(sizes.where(F.expr("double(s) * g") > large).select("sig", "g", "s"), "wide")
+        if wide.isEmpty():
+            break
+        finer = _merged(_placed(_refined(merged.join(wide, "sig").select("sig", "fp", "g"), docs, reps), comps))
+        work = _sizes(finer).groupBy("parent").agg(F.sum(F.expr("double(s) * g")).alias("work"))
+        # Groups without a finer group have nothing left to compare.
+        kept = written(wide.join(work, wide.sig == work.parent, "left").where("work >= double(s) * g").select("sig"), "kept")
+        done += [merged.join(wide, "sig", "left_anti"), merged.join(kept, "sig", "left_semi")]
+        merged = written(finer.join(kept.withColumnRenamed("sig", "parent"), "parent", "left_anti").select("sig", "fp", "flag", "comp"), "finer")
+    for x in done:
+        merged = merged.unionByName(x.select(*merged.columns))
+    return written(merged.select("sig", "fp", "flag"), "compare")
+
+
+def _cross_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, ask: DataFrame | None, block: int, most: int) -> DataFrame:
+    """Pairs (a, b) of different components in the groups of `members` that may link: for each member that is not of
+    its group's main component, or, if given, for those in `ask`, the `most` nearest by the sketches in each block. A
+    row (a, null) tells that the member a has more. (Another component can be the main one by then; so `ask` decides.)
+
+    The s members and all g members of a group are dealt into blocks of about `block` rows; a task holds two.
+    """
+    placed = written(_placed(members, comps).select("sig", "fp", "flag", "comp"), "mixed-members")
+    rows = placed.join(_sizes(placed), "sig")
+    if ask is None:
+        asked = rows.where("comp <> main")
+    else:
+        asked = rows.join(ask, "fp", "left_semi")
+        rows = rows.join(written(asked.select("sig").distinct(), "asked"), "sig", "left_semi")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    place = lambda n, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    cols = ["sig", "i", "j", "query", "known", "fp", "flag", "comp"]
+    # Where there is one block, a row in both parts goes once.
+    once = asked.where(blocks("g") == 1).select("sig", "fp", F.lit(True).alias("once"))
+    asked = asked.withColumn("query", F.lit(True)).withColumn("known", blocks("g") == 1).withColumn("i", place("s", 1)).withColumn("j", every("g")).select(cols)
+    known = rows.join(once, ["sig", "fp"], "left_anti") if ask is not None else rows.where((blocks("g") > 1) | F.expr("comp = main"))
+    known = known.withColumn("query", F.lit(False)).withColumn("known", F.lit(True)).withColumn("j", place("g", 2)).withColumn("i", every("s")).select(cols)
+    sketches = classes.select("fp", "n", F.when(F.col("bits").isNull(), F.col("sketch")).alias("sketch"), "bits")
+    dealt = asked.union(known).join(sketches, "fp").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "fp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            keys = [table.column(c).to_numpy() for c in ("sig", "i", "j")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            rest = table.slice(int(new[-1]) if len(new) else 0)
+            if len(new):
+                yield _near(table.slice(0, int(new[-1])).combine_chunks(), most)
+        if rest is not None and rest.num_rows:
+            yield _near(rest.combine_chunks(), most)
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _near(t: pa.Table, most: int) -> pa.RecordBatch:
+    """Whole blocks, sorted by (sig, i, j, n): the pairs of `_cross_pairs`. Each row that asks is compared to the
+    known rows of its block whose size allows a link, STEP pairs at a time."""
+    fp, comp, n = (t.column(c).to_numpy() for c in ("fp", "comp", "n"))
+    n = n.astype(np.int64)
+    flag, query, known = (t.column(c).to_numpy(zero_copy_only=False) for c in ("flag", "query", "known"))
+    keys = [t.column(c).to_numpy() for c in ("sig", "i", "j")]
+    number = np.cumsum(np.concatenate(([0], np.any([k[1:] != k[:-1] for k in keys], axis=0)))).astype(np.int64) << 40
+    bits = t.column("bits").to_pylist()
+    sk = P.folded([np.array(s, np.int64).tobytes() if b is None else b for s, b in zip(t.column("sketch").to_pylist(), bits, strict=True)])
+    known, asked = np.flatnonzero(known), np.flatnonzero(query)
+    place = number[known] + n[known]
+    lo = np.searchsorted(place, number[asked] + (3 * n[asked] + 3) // 4, "left")
+    hi = np.searchsorted(place, number[asked] + 4 * n[asked] // 3, "right")
+    total = np.concatenate(([0], np.cumsum(hi - lo)))
+    found, more, begin = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], 0
+    while begin < len(asked):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + STEP, "right")) - 1)
+        count = (hi - lo)[begin:end]
+        x = np.repeat(asked[begin:end], count)
+        y = known[np.repeat(lo[begin:end] - (total[begin:end] - total[begin]), count) + np.arange(count.sum())]
+        begin = end
+        ok = (comp[x] != comp[y]) & (flag[x] | flag[y])
+        x, y = x[ok], y[ok]
+        far = np.bitwise_count(sk[x] ^ sk[y]).sum(axis=1, dtype=np.int64)
+        ok = 7 * far <= n[x] + n[y]
+        x, y, far = x[ok], y[ok], far[ok]
+        if len(long := np.flatnonzero((n[x] > P.LONG) & (n[y] > P.LONG))):
+            far[long] = P.apart([bits[r] for r in x[long]], [bits[r] for r in y[long]])
+            ok = 7 * far <= n[x] + n[y]
+            x, y, far = x[ok], y[ok], far[ok]
+        order = np.lexsort((fp[y], far / (n[x] + n[y]), x))
+        x, y = x[order], y[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x, "left")
+        more.append(np.unique(fp[x[rank >= most]]))
+        a, b = fp[x[rank < most]], fp[y[rank < most]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
-    row = {f: r for r, f in enumerate(fp.tolist())}
-    a, b = (np.array([row[f] for f in side], dtype=np.int64) for side in pairs.T.tolist())
-    ok = np.ones(len(pairs), bool)
-    if len(long := np.flatnonzero((n[a] > P.LONG) & (n[b] > P.LONG))):
-        bits = t.column("bits").to_pylist()
-        a, b = a[long], b[long]
-        ok[long] = 7 * P.apart([bits[r] for r in a], [bits[r] for r in b]) <= n[a].astype(np.int64) + n[b]
-    return pa.RecordBatch.from_arrays([pa.array(pairs[ok, 0]), pa.array(pairs[ok, 1])], ["a", "b"])
+    more = np.unique(np.concatenate(more))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((pairs[:, 0], more))), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(more), pa.int64())])], ["a", "b"])
 
 
-def ngram_components(documents: DataFrame) -> DataFrame:
+def ngram_components(documents: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of documents (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(32, docs.rdd.getNumPartitions())
+    parts = max(32, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     stop = _stop_shingles(docs)
     packed = docs.mapInArrow(_mapper(stop, parts), "p int, kind int, a binary, b binary, c binary").repartitionById(parts, F.col("p"))
     first = written(packed.mapInArrow(_reducer, SIGNED), "signed")
@@ -367,15 +486,17 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     tried = written(_may_link(stars, classes), "stars")
     links = _linked(docs, reps, tried)
     comps = components(links)
-    placed = members.join(comps, members.fp == comps.id, "left").select("sig", "fp", "flag", F.coalesce("label", "fp").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("flag").alias("any")).where("any and lo <> hi").select("sig")
-    mixed = written(mixed, "mixed")
-    placed = written(placed.join(mixed, "sig"), "placed")
-    cross = _cross_pairs(placed, classes.select("fp", "n", "sketch", "bits")).join(tried, ["a", "b"], "left_anti")
-    cross = written(cross, "cross")
-    if not cross.isEmpty():
-        links = links.union(_linked(docs, reps, cross))
-        comps = components(links)
+    members = _to_compare(members, comps, docs, reps, block * block * WIDE)
+    ask = None
+    while ask is None or not ask.isEmpty():
+        found = written(_cross_pairs(members, comps, classes.select("fp", "n", "sketch", "bits"), ask, block, most), "found")
+        ask, most = found.where("b is null").select(F.col("a").alias("fp")), most * MORE
+        cross = written(found.where("b is not null").join(tried, ["a", "b"], "left_anti"), "cross")
+        if not cross.isEmpty():
+            tried, new = tried.union(cross), _linked(docs, reps, cross)
+            if not new.isEmpty():
+                links = links.union(new)
+                comps = components(links)
     merged = classes.join(comps, classes.fp == comps.id, "left").select("fp", "rep", F.coalesce("label", "fp").alias("comp"))
     least = written(merged.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
     merged = merged.join(least, "comp").select(F.col("fp").alias("cfp"), "component_id")

@@ -25,7 +25,9 @@ U = np.uint64
 WORDS = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
 #: Sets of more features have a long sketch.
-LONG = 64
+LONG = 256
+#: Bytes of sketches that are compared at once.
+APART_BYTES = 2_000_000
 #: Parts for each feature of the band's largest set, in the whole domain and in that without stop shingles.
 PARTS_WHOLE, PARTS_RARE = 0.36, 0.8
 #: Sets that keep a smaller share of their features without the stop shingles sign in the whole domain alone.
@@ -129,6 +131,13 @@ def signatures(s: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sigs, flags
 
 
+def group_signatures(s: np.ndarray, stop: np.ndarray, group: int) -> np.ndarray:
+    """Signatures of a set among the members of one group, without the group's `stop` shingles."""
+    band, seed = int(np.searchsorted(BOUNDS, len(s), "right")) - 1, mix(np.array([group], np.int64).view(U))
+    rare = rare_part(s, stop) ^ seed
+    return np.unique(mix(np.concatenate([_signed(rare, len(s), b, PARTS_RARE, 2) for b in (band, band + 1)]) ^ seed))
+
+
 def sketch(s: np.ndarray, bits: int = 512) -> np.ndarray:
     """The parity of the number of features in each of `bits` classes, as words: the bits in which two sketches
     differ are no more than the features in which the sets differ."""
@@ -137,8 +146,22 @@ def sketch(s: np.ndarray, bits: int = 512) -> np.ndarray:
 
 
 def long_sketch(s: np.ndarray) -> bytes | None:
-    """A sketch with four to eight bits for each feature of a set of over LONG features: few features share one."""
-    return sketch(s, 1 << (4 * len(s) - 1).bit_length()).tobytes() if len(s) > LONG else None
+    """A sketch with two to four bits for each feature of a set of over LONG features: few features share one."""
+    return sketch(s, 1 << (2 * len(s) - 1).bit_length()).tobytes() if len(s) > LONG else None
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The short sketches (rows of 8 words) of sketches of any length: classes are merged until 512 are left."""
+    out, groups = np.zeros((len(sketches), 8), U), {}
+    for i, x in enumerate(sketches):
+        groups.setdefault(len(x), []).append(i)
+    for own in groups.values():
+        x = np.frombuffer(b"".join(sketches[i] for i in own), U).reshape(len(own), -1)
+        while x.shape[1] > 8:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        out[own] = x
+    return out
 
 
 def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -147,9 +170,10 @@ def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     out, groups = np.zeros(len(a), np.int64), {}
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         groups.setdefault((len(x), len(y)), []).append(i)
-    for _, own in groups.items():
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
+    for own in groups.values():
+        step = max(1, APART_BYTES // max(len(a[own[0]]), len(b[own[0]])))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
             x, y = (np.frombuffer(b"".join(z[i] for i in part), U).reshape(len(part), -1) for z in (a, b))
             while x.shape[1] != y.shape[1]:
                 if x.shape[1] < y.shape[1]:
