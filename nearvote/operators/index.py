@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from nearvote import schema as S
 from nearvote.functions.vectors import is_whole, quantize
-from nearvote.operators.topk import _matrix, distances
+from nearvote.operators.topk import _matrix, distances, whole_rows
 from nearvote.session import written
 
 #: Clusters that an index may have; so the centroid table is small enough to go to every executor.
@@ -38,7 +38,7 @@ def nearest_centroids(rows: DataFrame, centroids: DataFrame, dims: int, n: int,
     kind = "bigint" if whole else "double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole_rows(b, vector, dims) for b in batches):
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 d = distances(_matrix(b.column(vector), dims), c)
@@ -49,7 +49,7 @@ def nearest_centroids(rows: DataFrame, centroids: DataFrame, dims: int, n: int,
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), flat)
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "probes"])
 
-    return rows.where(is_whole(F.col(vector), dims)).mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"probes array<struct<cluster_id:bigint,d:{kind}>>").fields]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"probes array<struct<cluster_id:bigint,d:{kind}>>").fields]))
 
 
 def assign(rows: DataFrame, centroids: DataFrame, dims: int, vector: str = "v") -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearvote.functions.vectors import is_whole
 from nearvote.schema import NO_DISTANCE, TOP
 
 #: Queries of one block; the blocks, not the whole set, go to the executors.
@@ -35,6 +35,18 @@ def sorted_neighbours(nearest: DataFrame) -> DataFrame:
     return nearest.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "ref_id", "label"))).alias("neighbours"))
 
 
+def whole_rows(batch: pa.RecordBatch, column: str, dims: int) -> pa.RecordBatch:
+    """The rows whose vector has `dims` numbers, none of them null; found here, as a filter before the kernel would
+    have Spark compute the vectors twice."""
+    vectors = batch.column(column)
+    ok = pc.fill_null(pc.equal(pc.list_value_length(vectors), dims), False).to_numpy(zero_copy_only=False)
+    empty = pc.list_flatten(vectors).is_null()
+    if pc.any(empty).as_py():
+        ok = ok.copy()
+        ok[pc.list_parent_indices(vectors).filter(empty).to_numpy()] = False
+    return batch if ok.all() else batch.filter(pa.array(ok))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
@@ -48,7 +60,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def query_blocks(queries: DataFrame, dims: int, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of blocks of queries (q_id, v), streamed from the cluster; without those of null or ragged vectors."""
     ids, vectors = [], []
-    for row in queries.select("q_id", "v").where(is_whole(F.col("v"), dims)).toLocalIterator():
+    for row in queries.select("q_id", "v").toLocalIterator():
+        if row.v is None or len(row.v) != dims or None in row.v:
+            continue
         ids.append(row.q_id)
         vectors.append(row.v)
         if len(ids) == size:
@@ -67,7 +81,7 @@ def _near(refs: DataFrame, queries: DataFrame, dims: int, k: int | None) -> Data
         def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
             best: pa.Table | None = None
             step = max(1, DISTANCES // len(ids))
-            for batch in batches:
+            for batch in (whole_rows(b, "v", dims) for b in batches):
                 for at in range(0, batch.num_rows, step):
                     b = batch.slice(at, step)
                     ref, label = b.column("ref_id").to_numpy(), b.column("label").to_numpy(zero_copy_only=False)
@@ -85,7 +99,7 @@ def _near(refs: DataFrame, queries: DataFrame, dims: int, k: int | None) -> Data
             if best is not None and best.num_rows:
                 yield from best.set_column(3, "label", best.column("label").cast(pa.int32())).combine_chunks().to_batches()
 
-        found = refs.where(is_whole(F.col("v"), dims)).select("ref_id", "v", "label").mapInArrow(scan, "q_id long, ref_id long, dist long, label int")
+        found = refs.select("ref_id", "v", "label").mapInArrow(scan, "q_id long, ref_id long, dist long, label int")
         parts = found if parts is None else parts.unionAll(found)
     return refs.sparkSession.createDataFrame([], "q_id long, ref_id long, dist long, label int") if parts is None else parts
 

@@ -350,7 +350,9 @@ def features_float(spark, sf):
 
 @query(f"WITH {EVENTS} SELECT ref_id AS event_id, " + ", ".join(f"v[{i + 1}]::INTEGER AS {n}" for i, n in enumerate(NAMES)) + " FROM refs")
 def features_int16(spark, sf):
-    return vectorize_int16(inputs.event_payloads(spark, sf)).select("event_id", *(F.col("v")[i].cast("int").alias(n) for i, n in enumerate(NAMES)))
+    rows = vectorize_int16(inputs.event_payloads(spark, sf))
+    # Within the lambda a vector is one value; 14 columns of it would be computed anew each.
+    return rows.select("event_id", F.inline(F.transform(F.array("v"), lambda v: F.struct(*(v[i].cast("int").alias(n) for i, n in enumerate(NAMES))))))
 
 
 def _event_refs(spark, sf) -> DataFrame:
