@@ -221,3 +221,14 @@ def test_very_long_conversation(spark):
     assert time.time() - began < 60
     for conv, loss in ((1, "".join(f"t{i} <é>" for i in range(1, n, 2))), (2, "long [é] " * 400_000)):
         assert (got[conv].loss_chars, got[conv].loss_sha256, got[conv].valid) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), True)
+
+
+def test_long_and_repeated_urls(spark):
+    """A URL of 200,000 characters, equal URLs and others with the same features; the latter tie."""
+    urls = [f"http://s{i}.{'net' if i % 2 else 'org'}/{'x' if i % 2 else 'fr/'}{i}" for i in range(60)]
+    urls += ["http://b.com/" + "y?&=#" * 40_000] * 2 + ["http://c.com/ab"] * 3 + ["http://c.com/ba", None, None]
+    rows = url_filter.judge_pages(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(urls) and got[60][1:] == got[61][1:] and len({got[i][1:] for i in (62, 63, 64)}) == 1 and got[66][1:] == got[67][1:]
+    assert got[62].block_score == got[65].block_score and got[62].verdict == got[65].verdict
+    assert all(r.verdict == ("block" if r.block_score >= 0.5 else "allow") for r in rows if r.rule is None) and got[60].host == "b.com" and got[60].path == "/y"
