@@ -129,21 +129,19 @@ BOXES = "cluster_id long, cnt long, d long, lo array<int>, hi array<int>"
 
 def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of BOXES for each cluster of rows of BOXES: at most MOST_CLUSTERS of them are held."""
-    held: pa.Table | None = None
+    held: list[np.ndarray] | None = None
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-        if not t.num_rows:
+        if not batch.num_rows:
             continue
-        cluster, cnt, d = (t.column(c).to_numpy() for c in ("cluster_id", "cnt", "d"))
-        lo, hi = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(cluster), -1) for c in ("lo", "hi"))
+        # As arrays: Spark's batches and tables made here differ in their fields' names and nullability.
+        rows = [batch.column(c).to_numpy() for c in ("cluster_id", "cnt", "d")] + [batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("lo", "hi")]
+        cluster, cnt, d, lo, hi = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
         order = np.argsort(cluster, kind="stable")
         starts = np.flatnonzero(np.diff(cluster[order], prepend=cluster[order[0]] - 1))
-        sides = [f.reduceat(x[order], starts, axis=0) for f, x in ((np.minimum, lo), (np.maximum, hi))]
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.int32())) for x in sides]
-        held = pa.table([pa.array(cluster[order][starts]), pa.array(np.add.reduceat(cnt[order], starts)), pa.array(np.maximum.reduceat(d[order], starts)), *lists], names=["cluster_id", "cnt", "d", "lo", "hi"])
+        held = [cluster[order][starts], *(f.reduceat(x[order], starts, axis=0) for f, x in ((np.add, cnt), (np.maximum, d), (np.minimum, lo), (np.maximum, hi)))]
     if held is not None:
-        yield from held.to_batches(max_chunksize=4096)
+        sides = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), pa.int32())) for x in held[3:]]
+        yield from pa.table([*map(pa.array, held[:3]), *sides], names=["cluster_id", "cnt", "d", "lo", "hi"]).to_batches(max_chunksize=4096)
 
 
 def statistics(assigned: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:

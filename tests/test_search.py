@@ -266,3 +266,9 @@ def test_evaluation_of_one_document(spark, tmp_path):
     whole.write_bytes(gzip.compress(json.dumps({"entries": [{"request": request, "expected_approved": True}, {"request": request | {"id": "8"}, "expected_approved": False}]}, indent=1).encode()))
     got = inputs.read_evaluation(spark, f"file://{whole}").collect()
     assert [(r.q_id, r.request.id, r.expected_approved) for r in got] == [(0, "7", True), (1, "8", False)]
+
+
+def test_boxes_over_several_batches(spark):
+    table = spark.range(30_000, numPartitions=1).selectExpr("id % 3 AS cluster_id", "id AS d", "array_repeat(cast(id % 1000 - 500 AS smallint), 4) AS v")
+    got = {r.cluster_id: (r.cnt, r.bmin, r.bmax, r.radius) for r in ix.statistics(table, cents(spark, [(i, [0] * DIMS) for i in range(3)]), DIMS).collect()}
+    assert got == {i: (10_000, [-500] * DIMS, [499] * DIMS, float(np.float32(np.sqrt(29_997 + i)))) for i in range(3)}
