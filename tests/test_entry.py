@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from nearvote.plans import queries as engine
@@ -45,6 +46,18 @@ def test_evaluation_file_holds_all_events(spark, monkeypatch, tmp_path):
     assert got == events.where("event_id % 100 = 0").count()
 
 
+def test_reference_scan_keeps_floats(spark, tmp_path):
+    # Halves of a step of quantisation: the shortest decimals of these floats lie on the other side.
+    halves = [np.float32((n + 0.5) / 32767) for n in range(32767)]
+    odd = [x for x in halves if np.floor(float(x) * 32767 + 0.5) != np.floor(float(str(x)) * 32767 + 0.5)]
+    assert len(odd) > 5
+    spark.createDataFrame([(i, [float(x)], i) for i, x in enumerate(odd)], "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in engine.Q["reference_scan"](spark, f"file://{tmp_path}").select("label", "n", "total").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(con.execute(engine.SQL["reference_scan"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
