@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearvote import schema as S
-from nearvote.operators import evaluate, index as ix
+from nearvote.operators import evaluate, index as ix, topk
 from nearvote.operators.decision import respond
-from nearvote.operators.topk import all_distances, exact_top_k, top_k, votes
+from nearvote.operators.topk import all_distances, distances, exact_top_k, top_k, votes
 from nearvote.plans import search
 from nearvote.sources import inputs
 from nearvote.streaming import scoring
@@ -272,3 +272,19 @@ def test_boxes_over_several_batches(spark):
     table = spark.range(30_000, numPartitions=1).selectExpr("id % 3 AS cluster_id", "id AS d", "array_repeat(cast(id % 1000 - 500 AS smallint), 4) AS v")
     got = {r.cluster_id: (r.cnt, r.bmin, r.bmax, r.radius) for r in ix.statistics(table, cents(spark, [(i, [0] * DIMS) for i in range(3)]), DIMS).collect()}
     assert got == {i: (10_000, [-500] * DIMS, [499] * DIMS, float(np.float32(np.sqrt(29_997 + i)))) for i in range(3)}
+
+
+def test_nearest_looks_at_few_pairs(monkeypatch):
+    rng, seen = np.random.default_rng(3), []
+    monkeypatch.setattr(topk, "distances", lambda a, b: seen.append(len(a) * len(b)) or distances(a, b))
+    place = rng.integers(-30_000, 30_000, (200, DIMS))
+    v, q = ((place[rng.integers(0, 200, n)] + rng.integers(-9, 9, (n, DIMS))).astype(float) for n in (60_000, 2_000))
+    ref, label = rng.permutation(len(v)), rng.integers(0, 2, len(v))
+    best = topk.Nearest(q, 5)
+    for at in (0, 25_000):
+        best.add(ref[at : at + 25_000 + at], label[at : at + 25_000 + at], v[at : at + 25_000 + at])
+    for i in range(0, 2_000, 20):
+        d = distances(q[i : i + 1], v)[0]
+        order = np.lexsort((ref, d))[:5]
+        assert best.ref[i].tolist() == ref[order].tolist() and best.dist[i].tolist() == d[order].tolist() and best.label[i].tolist() == label[order].tolist()
+    assert sum(seen) < len(q) * len(v) / 5
