@@ -37,6 +37,31 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got.columns, got.collect()) == rows_of(list(want.columns), [[x.item() if hasattr(x, "item") else x for x in r] for r in want.itertuples(index=False)])
 
 
+#: Queries of the saved index, whose build met an error where a task had several Arrow batches.
+INDEXED = (
+    "bbox_lower_bound", "bbox_lower_bound_float", "bbox_prune", "calibrate_breakdown", "calibrate_confusion", "calibrate_escalations", "calibrate_report",
+    "calibrate_thresholds", "cluster_bbox", "cluster_lookup", "cluster_member_order", "cluster_radius", "cluster_size_stats", "cluster_sizes", "decision_agreement",
+    "index_roundtrip", "index_validate", "index_warmup", "l2_distance_float", "recall_at_5", "search_dispatch_clustered", "search_fast_only", "search_legacy",
+)
+
+
+@pytest.fixture(scope="module")
+def small_batches(spark):
+    """An index built, and queries run, on tasks of several Arrow batches."""
+    known = dict(engine._SAVED)
+    engine._SAVED.clear()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    engine._SAVED.clear()
+    engine._SAVED.update(known)
+
+
+@pytest.mark.parametrize("name", INDEXED)
+def test_indexed_query_over_several_batches(spark, duck, small_batches, name):
+    test_query_equals_sql(spark, duck, name)
+
+
 def test_evaluation_file_holds_all_events(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(engine, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
     got = engine.Q["eval_explode"](spark, DATA).count()
