@@ -1,12 +1,13 @@
 """Quality rules: a linear-chain conditional random field labels the lines of a text as content or boilerplate
 (Viterbi decoding); the share of content decides whether a document stays.
 
-The field is trained here, on a bounded sample of labelled documents that are not held out, with a label for
-each line. Boilerplate are lines that many documents of the sample have between different neighbours (licences,
-menus, banners; whole copies of a document do not make its lines so), lines that a document repeats, and those
-lines of documents of bad quality that a line by itself tells from lines of good ones. All others are content,
-so states change within documents. Line features do not look at words, but for a bounded table of the
-sample's frequent lines. Without labels of both kinds the weights are zero and every line counts as content.
+The field is trained here, on all labelled documents that are not held out, with a label for each line.
+Boilerplate are lines that many of these documents have between different neighbours (licences, menus, banners;
+whole copies of a document do not make its lines so), lines that a document repeats, and those lines of documents
+of bad quality that a line by itself tells from lines of good ones. All others are content, so states change
+within documents. Line features do not look at words, but for the table of frequent lines. Sums over all lines are
+made by tasks, from a table of features; only they and the frequent lines' hashes go to the driver. Without labels
+of both kinds the weights are zero and every line counts as content.
 
 Null texts are empty: no words, so base_failed. All lines of a text take part, however long it is. Repeated
 rows and ids give rows of their own; other columns of the input are ignored or, in `keep_documents`, kept.
@@ -14,9 +15,10 @@ rows and ids give rows of their own; other columns of the input are ignored or,
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import labelled_sample, text_blocks, written
+from nearvote.llm.common import labelled_ids, labelled_texts, text_blocks, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,12 +37,11 @@ MAX_REPEAT_PERCENT = 30
 MIN_CONTENT = 0.5
 #: Lines of one training sequence; longer texts give several.
 SEQUENCE = 48
-#: Sequences that training takes at most.
-SEQUENCES = 3000
+#: Training sequences of a block, of like lengths; a block is padded and summed at once.
+BLOCK = 512
 #: A frequent line has so many different neighbours before and after it, in half of the documents that have it or
-#: more; the most such lines kept.
+#: more.
 NEIGHBOURS = 5
-FREQUENT = 20_000
 FEATURES = 15
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
 _ODD = (np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -121,23 +122,32 @@ def line_features(lines: list[str], frequent: frozenset[int] = frozenset()) -> n
 REPEATED, COMMON = 6, 14
 
 
-def line_labels(rows: list[np.ndarray], bad: list[bool]) -> list[np.ndarray]:
-    """States of all lines of sequences (rows of line_features), whose documents are of bad quality or not."""
+def line_labels(rows: list[np.ndarray], bad: list[bool], lone: np.ndarray | None = None) -> list[np.ndarray]:
+    """States of all lines of sequences (rows of line_features), whose documents are of bad quality or not. lone:
+    the weights of _lone, if there are documents of both kinds."""
     x = np.concatenate(rows) if rows else np.zeros((0, FEATURES))
     y = np.repeat(np.asarray(bad, bool), [len(r) for r in rows])
-    strange = _lone(x, y) if y.any() and not y.all() else np.zeros(len(x), bool)
-    state = (x[:, REPEATED] > 0) | (x[:, COMMON] > 0) | (y & strange)
+    state = (x[:, REPEATED] > 0) | (x[:, COMMON] > 0) | (y & (x @ lone > 0) if lone is not None else False)
     return np.split(state.astype(int), np.cumsum([len(r) for r in rows])[:-1]) if rows else []
 
 
-def _lone(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """The lines that a logistic curve of a line alone gives to bad documents (Newton steps, both kinds of one weight)."""
-    share, w = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum()), np.zeros(x.shape[1])
+def _lone(blocks: DataFrame, n_bad: int, n_good: int, rounds: int = 25) -> np.ndarray:
+    """The weights of the logistic curve by which a line alone tells bad documents (Newton steps, both kinds, of n_bad
+    and n_good lines, of one weight)."""
+    w = np.zeros(FEATURES)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (share * (y - p)) - 1e-4 * w)
-    return x @ w > 0
+
+        def part(rows: list[np.ndarray], bad: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            x, y = np.concatenate(rows), np.repeat(bad, [len(r) for r in rows])
+            share, p = np.where(y, 0.5 / n_bad, 0.5 / n_good), 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            return np.concatenate([x.T @ (share * (y - p)), ((x * (share * p * (1 - p))[:, None]).T @ x).ravel()])
+
+        sums = _total(blocks, part)
+        move = np.linalg.solve(sums[FEATURES:].reshape(FEATURES, FEATURES) + 1e-4 * np.eye(FEATURES), sums[:FEATURES] - 1e-4 * w)
+        w = w + move
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
 
 
 def likelihood(emit: np.ndarray, step: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -167,66 +177,140 @@ def likelihood(emit: np.ndarray, step: np.ndarray, x: np.ndarray, y: np.ndarray,
     return float((share * (path.sum(axis=1) - z)).sum()), d_emit, d_step
 
 
-def train(sequences: list[np.ndarray], labels: list[np.ndarray], bad: list[bool], rounds: int = 120, rate: float = 0.3, decay: float = 1e-3) -> LineField:
-    """Maximum conditional likelihood by Adam, of labels of lines; documents of either quality weigh as much."""
-    emit, step = np.zeros((2, FEATURES)), np.zeros((2, 2))
-    if not sequences or len(set(bad)) < 2:
-        return LineField(emit, step)
-    t = max(map(len, sequences))
-    x, mask, y = np.zeros((len(sequences), t, FEATURES)), np.zeros((len(sequences), t), bool), np.zeros((len(sequences), t), int)
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], mask[i, : len(s)], y[i, : len(s)] = s, True, labels[i]
-    poor = np.asarray(bad, bool)
-    share = np.where(poor, 0.5 / poor.sum(), 0.5 / (~poor).sum()) / mask.sum(axis=1)
-    first, second = np.zeros(FEATURES * 2 + 4), np.zeros(FEATURES * 2 + 4)
-    for r in range(1, rounds + 1):
-        _, d_emit, d_step = likelihood(emit, step, x, y, mask, share)
-        grad = np.concatenate([(d_emit - decay * emit).ravel(), (d_step - decay * step).ravel()])
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        move = rate * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-8)
-        emit, step = emit + move[: 2 * FEATURES].reshape(2, FEATURES), step + move[2 * FEATURES :].reshape(2, 2)
-    return LineField(emit, step)
+def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences as one array (n, t, FEATURES), and which of its lines are real."""
+    mask = np.arange(max(map(len, rows))) < np.array([len(r) for r in rows])[:, None]
+    x = np.zeros((*mask.shape, FEATURES))
+    x[mask] = np.concatenate(rows)
+    return x, mask
+
+
+def maximum(ascent: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int = 200, near: float = 1e-6) -> np.ndarray:
+    """Where a concave function is largest (BFGS), from (value, gradient); done when no part of the gradient exceeds `near`."""
+    w, h = np.zeros(size), np.eye(size)
+    value, grad = ascent(w)
+    for r in range(rounds):
+        if np.abs(grad).max() <= near:
+            break
+        way = h @ grad
+        if r == 0:
+            way /= max(np.linalg.norm(grad), 1e-12)
+        step, ahead = 1.0, ascent(w + way)
+        while ahead[0] < value + 1e-4 * step * (grad @ way) and step > 1e-8:
+            step /= 4
+            ahead = ascent(w + step * way)
+        if step <= 1e-8:
+            break  # as near as the sums' own precision lets it come
+        s, y = step * way, grad - ahead[1]
+        if s @ y > 1e-18:
+            if r == 0:
+                h = np.eye(size) * (s @ y) / (y @ y)
+            keep = np.eye(size) - np.outer(s, y) / (s @ y)
+            h = keep @ h @ keep.T + np.outer(s, s) / (s @ y)
+        w, value, grad = w + s, *ahead
+    return w
+
+
+def train(blocks: DataFrame, bad: int, good: int, lone: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(emit, step) of maximum conditional likelihood, of the labels of all lines; the sequences of documents of either
+    quality, so many, weigh as much."""
+
+    def ascent(w: np.ndarray) -> tuple[float, np.ndarray]:
+        emit, step = w[: 2 * FEATURES].reshape(2, FEATURES), w[2 * FEATURES :].reshape(2, 2)
+
+        def part(rows: list[np.ndarray], poor: np.ndarray) -> np.ndarray:
+            x, mask = padded(rows)
+            y = np.zeros(mask.shape, int)
+            y[mask] = np.concatenate(line_labels(rows, poor, lone))
+            value, d_emit, d_step = likelihood(emit, step, x, y, mask, np.where(poor, 0.5 / bad, 0.5 / good) / mask.sum(axis=1))
+            return np.concatenate([[value], d_emit.ravel(), d_step.ravel()])
+
+        sums = _total(blocks, part)
+        return sums[0] - decay / 2 * (w @ w), sums[1:] - decay * w
+
+    w = maximum(ascent, 2 * FEATURES + 4)
+    return w[: 2 * FEATURES].reshape(2, FEATURES), w[2 * FEATURES :].reshape(2, 2)
 
 
 def _lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip(SPACES)]
 
 
-def _frequent(sample: DataFrame) -> frozenset[int]:
-    """Hashes of the frequent lines (NEIGHBOURS) of the sample's documents."""
+def _sequences(texts: DataFrame) -> DataFrame:
+    """(doc_id, at, lines, bad, h, x) of each SEQUENCE lines of texts (doc_id, text, y): the hashes of the lines, of the one
+    before and the one after; their features, without COMMON."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
-            rows = set()
-            for text in b.column("text").to_pylist():
-                h = [0, *map(line_hash, _lines(text)), 1]
-                rows.update(zip(h[1:-1], h[:-2], h[2:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*sorted(rows), strict=True) if rows else ([], [], []))], ["h", "before", "after"])
-
-    # Documents count once for each pair of neighbours: copies, also in part, bring no new ones.
-    by = sample.select("text").distinct().mapInArrow(lines, "h long, before long, after long").distinct()
+            rows = []
+            for doc_id, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True):
+                lines = _lines(text)
+                h, x = np.array([0, *map(line_hash, lines), 1], np.int64), line_features(lines).astype(np.float32)
+                rows += [(doc_id, at, min(SEQUENCE, len(x) - at), y != 1, h[at : at + SEQUENCE + 2].tobytes(), x[at : at + SEQUENCE].tobytes()) for at in range(0, len(x), SEQUENCE)]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], ["doc_id", "at", "lines", "bad", "h", "x"])
+
+    return texts.mapInArrow(run, "doc_id long, at long, lines long, bad boolean, h binary, x binary")
+
+
+def _frequent(sequences: DataFrame) -> frozenset[int]:
+    """Hashes of the frequent lines (NEIGHBOURS) of all sequences."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.frombuffer(h, np.int64) for h in b.column("h").to_pylist()]
+            parts = [np.concatenate([r[cut] for r in rows]) if rows else np.zeros(0, np.int64) for cut in (np.s_[1:-1], np.s_[:-2], np.s_[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["h", "before", "after"])
+
+    # A line counts once for each pair of neighbours: copies of a document, also in part, bring no new ones.
+    by = sequences.select("h").mapInArrow(lines, "h long, before long, after long").distinct()
     some = by.groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("before").alias("b"), F.countDistinct("after").alias("a"))
-    some = some.where(F.least("a", "b") >= F.greatest(F.lit(NEIGHBOURS), F.col("n") / 2)).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    some = some.where(F.least("a", "b") >= F.greatest(F.lit(NEIGHBOURS), F.col("n") / 2))
     return frozenset(some.select("h").toArrow().column("h").to_pylist())
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> LineField:
-    """The field of a bounded labelled sample: at most common.SAMPLE_ROWS documents and SEQUENCES sequences."""
-    sample = written(labelled_sample(docs, labels, "quality"), "line-sample")
-    frequent = _frequent(sample)
+def _blocks(sequences: DataFrame, frequent: frozenset[int]) -> DataFrame:
+    """(sequences, bad_sequences, n, bad_n, lines, bad, x): BLOCK sequences a row, with all features, and their numbers of
+    sequences and lines."""
+    known = np.array(sorted(frequent), np.int64)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_blocks(batches):
-            rows = []
-            for doc_id, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True):
-                x = line_features(_lines(text), frequent)
-                rows += [(doc_id, at, y, x[at : at + SEQUENCE].astype(np.float32).tobytes()) for at in range(0, len(x), SEQUENCE)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "at", "y", "x"), r, strict=True)) for r in rows], pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("y", pa.int32()), ("x", pa.binary())]))
-
-    rows = sample.mapInArrow(features, "doc_id long, at int, y int, x binary")
-    rows = rows.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(SEQUENCES).toArrow().to_pylist()
-    sequences, bad = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in rows], [r["y"] != 1 for r in rows]
-    return replace(train(sequences, line_labels(sequences, bad), bad), frequent=frequent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                lines, bad = b.column("lines").to_numpy(), b.column("bad").to_numpy(zero_copy_only=False).astype(bool)
+                x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).copy()
+                x[:, COMMON] = np.isin(np.concatenate([np.frombuffer(h, np.int64)[1:-1] for h in b.column("h").to_pylist()]), known)
+                numbers = [[len(lines)], [int(bad.sum())], [int(lines.sum())], [int(lines[bad].sum())]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), *(pa.array([v.tobytes()], pa.binary()) for v in (lines, bad, x))], ["sequences", "bad_sequences", "n", "bad_n", "lines", "bad", "x"])
+
+    ordered = sequences.repartition("doc_id", "at").sortWithinPartitions("lines", "doc_id", "at")
+    return ordered.mapInArrow(run, "sequences long, bad_sequences long, n long, bad_n long, lines binary, bad binary, x binary")
+
+
+def _total(blocks: DataFrame, part: Callable[[list[np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of part(sequences, bad) over all blocks, whatever their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lines, bad, x in zip(*(b.column(c).to_pylist() for c in ("lines", "bad", "x")), strict=True):
+                rows = np.split(np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(float), np.cumsum(np.frombuffer(lines, np.int64))[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array([part(rows, np.frombuffer(bad, bool)).tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    got = blocks.select("lines", "bad", "x").mapInArrow(run, "sums array<double>").toArrow().column("sums").to_pylist()
+    return np.array([math.fsum(c) for c in zip(*got, strict=True)])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> LineField:
+    """The field of all labelled documents that are not held out."""
+    sequences = written(_sequences(labelled_texts(docs, labelled_ids(labels, "quality"))), "line-sequences")
+    frequent = _frequent(sequences)
+    blocks = written(_blocks(sequences, frequent), "line-blocks")
+    n = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sequences", "bad_sequences", "n", "bad_n"))).first()
+    if n.bad_sequences in (0, n.sequences):
+        return LineField(np.zeros((2, FEATURES)), np.zeros((2, 2)), frequent)
+    lone = _lone(blocks, n.bad_n, n.n - n.bad_n)
+    return LineField(*train(blocks, n.bad_sequences, n.sequences - n.bad_sequences, lone), frequent)
 
 
 def judge(text: str | None, field: LineField) -> tuple:

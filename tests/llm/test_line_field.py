@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from nearvote.llm import line_crf
 from tests.llm.test_text_operators import DOC, LABELS, words
@@ -76,3 +77,36 @@ def test_labels_of_lines():
     x = line_crf.line_features(["One line of a text.", "a | b | c | d", "One line of a text."])
     assert line_crf.line_labels([], []) == []
     assert line_crf.line_labels([x], [True])[0].tolist() == [0, 0, 1]
+
+
+def test_field_is_the_best_of_all_labelled_lines(spark):
+    """More labelled documents than any sample had; one line is frequent only in those that the sample left out."""
+    rng = random.Random(8)
+    ids = [r.id for r in spark.range(9000).where("crc32(cast(cast(id AS string) AS binary)) % 4 <> 2").orderBy(F.xxhash64("id")).collect()]
+    assert len(ids) > 6500
+    texts = {i: [menu(rng) if i % 3 == 0 and rng.random() < 0.8 else prose(rng, 6) for _ in range(rng.randint(1, 4))] for i in ids}
+    banner = "Kept by the owners of this page."
+    for i in ids[6200:]:
+        texts[i].insert(rng.randint(0, len(texts[i])), banner)
+    texts[ids[0]] += [prose(rng, 5) for _ in range(100)]
+    table = spark.createDataFrame([(i, "\n".join(t), "en", "s", 0) for i, t in texts.items()], DOC)
+    field = line_crf.fit(table, spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in ids], LABELS))
+    assert field.frequent == {line_crf.line_hash(banner)}
+    rows, bad = [], []
+    for i, t in texts.items():
+        x = line_crf.line_features(t, field.frequent)
+        parts = [x[at : at + line_crf.SEQUENCE] for at in range(0, len(x), line_crf.SEQUENCE)]
+        rows, bad = rows + parts, bad + [i % 3 == 0] * len(parts)
+    bad = np.array(bad)
+    # Bad lines that a curve of a line alone tells, by plain steps of Newton's over all lines.
+    x, y, lone = np.concatenate(rows), np.repeat(bad, list(map(len, rows))), np.zeros(line_crf.FEATURES)
+    share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-(x @ lone)))
+        lone += np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(lone)), x.T @ (share * (y - p)) - 1e-4 * lone)
+    x, mask = line_crf.padded(rows)
+    states = np.zeros(mask.shape, int)
+    states[mask] = np.concatenate(line_crf.line_labels(rows, bad, lone))
+    weight = np.where(bad, 0.5 / bad.sum(), 0.5 / (~bad).sum()) / mask.sum(axis=1)
+    _, d_emit, d_step = line_crf.likelihood(field.emit, field.step, x, states, mask, weight)
+    assert np.abs(d_emit - 1e-3 * field.emit).max() < 1e-5 and np.abs(d_step - 1e-3 * field.step).max() < 1e-5
